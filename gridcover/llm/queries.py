@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, url_filter
+from . import jpeg, language, mixing, tokens, url_filter
 
 
 def queries() -> dict:
     return {
         "op2_mixing": mixing.op2_mixing,
+        "op3_token_counts": tokens.op3_token_counts,
+        "op6_language": language.op6_language,
+        "op7_media": jpeg.op7_media,
         "op10_url_filter": url_filter.op10_url_filter,
     }
 
