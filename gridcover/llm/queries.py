@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import jpeg, language, mixing, tokens, url_filter
+from . import decontaminate, jpeg, language, mixing, quality, tokens, url_filter
 
 
 def queries() -> dict:
     return {
         "op2_mixing": mixing.op2_mixing,
         "op3_token_counts": tokens.op3_token_counts,
+        "op4_quality": quality.op4_quality,
         "op6_language": language.op6_language,
         "op7_media": jpeg.op7_media,
+        "op8_decontaminate": decontaminate.op8_decontaminate,
         "op10_url_filter": url_filter.op10_url_filter,
     }
 
