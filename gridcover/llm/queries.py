@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jpeg, language, mixing, quality, tokens, url_filter
+from . import decontaminate, jpeg, language, mixing, quality, tokens, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op6_language": language.op6_language,
         "op7_media": jpeg.op7_media,
         "op8_decontaminate": decontaminate.op8_decontaminate,
+        "op9_toxicity": toxicity.op9_toxicity,
         "op10_url_filter": url_filter.op10_url_filter,
     }
 
