@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jpeg, language, mixing, quality, tokens, toxicity, url_filter
+from . import decontaminate, jaccard, jpeg, language, mixing, quality, tokens, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_mixing": mixing.op2_mixing,
         "op3_token_counts": tokens.op3_token_counts,
         "op4_quality": quality.op4_quality,
+        "op5_jaccard": jaccard.op5_jaccard,
         "op6_language": language.op6_language,
         "op7_media": jpeg.op7_media,
         "op8_decontaminate": decontaminate.op8_decontaminate,
