@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import os
 import tempfile
 import uuid
 
@@ -30,10 +32,31 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that materialize wrote and nothing reads any more, and let Spark delete shuffle files of finished steps."""
+    jvm = df.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    release(df.sparkSession)
+
+
+def release(spark: SparkSession) -> None:
+    """Shuffle files go when the driver collects the garbage of their plans; in a long job that may be late."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def short_batches(spark: SparkSession) -> None:
+    """Keeps Arrow batches short, and lets Python workers on this machine find the package. A cluster gets it by --py-files."""
+    here = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    if here not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [here, env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))]))
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 

@@ -5,15 +5,19 @@ Sets: distinct hashes (64 bits) of all runs of SHINGLE words; a shorter text is
 
 1. Each text is read into its size, a 128-bit fingerprint of its set, and the first part of its set in the order of hashes that
    two linked sets must share a member of (prefix filter). Equal fingerprints become one class.
-2. Shingles that open more than HOT classes are put last in the order (at most MOST_HOT of them; the order is a matter of
-   cost only), and prefixes that held one are taken anew. A bit map of the shingles that two prefixes share,
-   of a bounded size, lets all others be dropped before the inverted lists are dealt out.
-3. Classes whose first shingles open large lists are compared with the list's leader, its smallest member. Those
-   that link with it have the leader's answers and form one component with it: pairs within are skipped from here on.
+2. Shingles that are in more than HOT of these prefixes are put last in the order (at most MOST_HOT of them; the order is a
+   matter of cost only), and the classes' prefixes are taken in that order. Classes whose prefixes still open large lists are
+   read whole, what is common among them is put last too, and the prefixes that this changes are taken anew. A bit map of the shingles that two prefixes
+   share, of a bounded size, lets all others be dropped before the inverted lists are dealt out.
+3. Classes whose first common shingles open large lists are compared with the list's leader, the member with the fewest rare
+   shingles. Those that link with it form one component with it: pairs within are skipped from here on. For all of them,
+   the leader's answers bound their own: two classes share at most the lesser of their overlaps with the leader plus
+   what they share outside of it, which their prefixes tell.
 4. Inverted lists are sorted by size; for each member only the block of sizes that can link is visited, and members whose
-   positions rule out enough overlap are skipped. How often and how late a pair meets gives a bound on its difference;
-   pairs above it are dropped. The remaining ones are checked on whole sets, each set's overlap
-   derived from that of the set before it by their difference where both meet the same partner.
+   positions, or whose leader's answers, rule out enough overlap are skipped. How often and how late a pair meets bounds its
+   difference; pairs above that are dropped, then those whose whole prefixes differ too much. The remaining ones are
+   checked on whole sets, each set's overlap derived from that of the set before it by their difference where both meet
+   the same partner.
 5. Links give components; each document gets its class's component, named by its smallest doc_id.
 
 No step holds a list of all documents in one task or on the driver; classes, prefixes and sets are tables in the shared
@@ -35,13 +39,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, materialize, short_batches, table
+from .common import discard, free_name, materialize, release, short_batches, table
 from .components import components
 
 SHINGLE = 5
 HOT, MOST_HOT, BITMAP_BITS, BROADCAST_IDS = 8, 1 << 19, 1 << 26, 200_000
 #: Lists this long get a leader.
 LEADER_FROM = 8
+#: How many of a class's first shingles of large lists look for a leader.
+LEADERS = 4
+#: The condition on two sizes and an overlap.
+LINKS = "180 * o >= 80 * (nx + ny)"
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _ODD = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -92,6 +100,8 @@ def prefix(s: np.ndarray, hot: np.ndarray) -> np.ndarray:
 
 
 def _among(s: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    if not len(ordered):
+        return np.zeros(len(s), bool)
     at = np.searchsorted(ordered, s)
     at[at == len(ordered)] = 0
     return ordered[at] == s
@@ -121,7 +131,7 @@ class Join:
     """The steps over one table of documents."""
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, threshold_hot: int = HOT):
-        self.spark, self.hot_from = docs.sparkSession, threshold_hot
+        self.spark, self.hot_from, self.whole = docs.sparkSession, threshold_hot, None
         short_batches(self.spark)
         self.docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
         self.id_type = self.docs.schema["_id"].dataType.simpleString()
@@ -139,11 +149,15 @@ class Join:
                     pre.append(s[: prefix_length(len(s))].tobytes() if len(s) else b"")
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(pre, pa.binary())], names=["_id", "n", "fp", "pre"])
 
-        self.rows = materialize(self.docs.mapInArrow(sets, f"_id {self.id_type}, n long, fp binary, pre binary"), "jaccard-sets")
-        classes = self.rows.where("n > 0").groupBy("fp").agg(F.min("_id").alias("low"), F.first("n").alias("n"), F.first("pre").alias("pre"))
-        self.classes = materialize(classes.withColumn("c", F.monotonically_increasing_id()), "jaccard-classes")
-        total = self.classes.agg(F.sum(F.octet_length("pre"))).first()[0] or 0
+        read = materialize(self.docs.mapInArrow(sets, f"_id {self.id_type}, n long, fp binary, pre binary"), "jaccard-read")
+        total = read.agg(F.sum(F.octet_length("pre"))).first()[0] or 0
         self.buckets = int(min(1 << 20, max(64, total // 8 // 100_000)))
+        self.hot = self._hot(read)
+        self.rows = materialize(read.select("_id", "n", "fp"), "jaccard-rows")
+        discard(read)
+        classes = self.rows.where("n > 0").groupBy("fp").agg(F.min("_id").alias("low"), F.first("n").alias("n"))
+        self.classes = materialize(classes.withColumn("c", F.monotonically_increasing_id()), "jaccard-classes")
+        self.repeats = not self.rows.groupBy("_id").count().where("count > 1").isEmpty()
 
     # -- counting what prefixes share
 
@@ -158,7 +172,7 @@ class Join:
 
         return pre.select("pre").mapInArrow(dealt, "bucket long, c0 binary").groupBy("bucket")
 
-    def hot(self) -> np.ndarray:
+    def _hot(self, pre: DataFrame) -> np.ndarray:
         least = self.hot_from
 
         def counted(t: pa.Table) -> pa.Table:
@@ -166,63 +180,89 @@ class Join:
             many = n > least
             return pa.table({"token": pa.array(tokens[many].view(np.int64)), "n": pa.array(n[many], pa.int64())})
 
-        got = self._tokens(self.classes).applyInArrow(counted, "token long, n long").orderBy(F.desc("n"), "token").limit(MOST_HOT).select("token").toArrow()
+        got = self._tokens(pre).applyInArrow(counted, "token long, n long").orderBy(F.desc("n"), "token").limit(MOST_HOT).select("token").toArrow()
         return np.sort(got.column(0).to_numpy().view(np.uint64))
 
     def prefixes(self) -> None:
-        hot = self.hot()
-        own = self.classes.select("c", "n", "low", "pre")
-        if not len(hot):
-            self.pre = own
-            return
-        shared = self.spark.sparkContext.broadcast(hot)
+        shared = self.spark.sparkContext.broadcast(self.hot)
 
-        def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                pre = b.column(3).to_pylist()
-                tokens = np.frombuffer(b"".join(pre), np.uint64)
-                owner = np.repeat(np.arange(len(pre)), [len(x) // 8 for x in pre])
-                hit = np.zeros(len(pre), bool)
-                hit[owner[_among(tokens, shared.value)]] = True
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hit)], names=[*b.schema.names, "again"])
-
-        def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                fp, pre = [], []
-                for t in b.column(0):
-                    s = shingles(t.as_py())
-                    if len(s) and _among(s[: prefix_length(len(s))], shared.value).any():
-                        fp.append(fingerprint(s))
-                        pre.append(prefix(s, shared.value).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(fp, pa.binary()), pa.array(pre, pa.binary())], names=["fp", "pre"])
-
-        marked = materialize(self.classes.select("c", "n", "low", "pre", "fp").mapInArrow(untouched, "c long, n long, low " + self.id_type + ", pre binary, fp binary, again boolean"), "jaccard-marked")
-        taken = self.docs.select("_t").mapInArrow(again, "fp binary, pre binary").groupBy("fp").agg(F.first("pre").alias("pre"))
-        late = marked.where("again").select("c", "n", "low", "fp").join(taken, "fp").select("c", "n", "low", "pre")
-        self.pre = materialize(marked.where("not again").select("c", "n", "low", "pre").unionByName(late), "jaccard-prefixes")
-
-    def bitmap(self) -> np.ndarray:
-        """For each bucket, the bits of the shingles that two prefixes share."""
-        buckets = self.buckets
+                sets = [s for s in (shingles(t.as_py()) for t in b.column(0)) if len(s)]
+                pre = [prefix(s, shared.value) for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in pre], pa.binary())], names=["fp", "pre"])
+
+        pre = self.docs.select("_t").mapInArrow(taken, "fp binary, pre binary").groupBy("fp").agg(F.first("pre").alias("pre"))
+        self.pre = materialize(pre.join(self.classes, "fp").select("c", "n", "pre"), "jaccard-prefixes")
+        release(self.spark)
+
+    def count_lists(self) -> None:
+        """The bits of the shingles that two prefixes share, by bucket, and the shingles of large lists (the largest MOST_HOT / buckets
+        of each bucket; which ones only decides who is compared with a leader first)."""
+        buckets, least = self.buckets, LEADER_FROM - 1
         width = -(-max(64, BITMAP_BITS // buckets) // 8)
 
-        def bits(t: pa.Table) -> pa.Table:
+        def counted(t: pa.Table) -> pa.Table:
             tokens, n = np.unique(_gathered(t, [np.uint64])[0], return_counts=True)
             flags = np.zeros(width * 8, np.uint8)
             flags[_spots(tokens[n > 1], buckets)[1]] = 1
-            return pa.table({"bucket": t.column("bucket").slice(0, 1), "bits": pa.array([np.packbits(flags).tobytes()], pa.binary())})
+            large = np.flatnonzero(n > least)
+            large = large[np.lexsort((tokens[large], -n[large]))][: max(1, MOST_HOT // buckets)]
+            return pa.table({"bucket": t.column("bucket").slice(0, 1), "bits": pa.array([np.packbits(flags).tobytes()], pa.binary()), "large": pa.array([tokens[large].tobytes()], pa.binary())})
 
-        out = np.zeros((buckets, width), np.uint8)
-        got = self._tokens(self.pre).applyInArrow(bits, "bucket long, bits binary").toArrow()
+        self.bits = np.zeros((buckets, width), np.uint8)
+        got = self._tokens(self.pre).applyInArrow(counted, "bucket long, bits binary, large binary").toArrow()
         for b, raw in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True):
-            out[b] = np.frombuffer(raw, np.uint8)
-        return out
+            self.bits[b] = np.frombuffer(raw, np.uint8)
+        self.large = np.sort(np.frombuffer(b"".join(got.column(2).to_pylist()), np.uint64))
+
+    def settle(self) -> None:
+        """Puts last all shingles that are common among classes whose prefixes open large lists, not only those that prefixes showed so far, and
+        takes the prefixes that this changes anew. Then classes near a common text begin with what is their own."""
+        if not len(self.large):
+            return
+        late = self.spark.sparkContext.broadcast(np.union1d(self.large, self.hot))
+        restless = materialize(self._opening(late), "jaccard-restless")
+        whole = self._read_sets(restless)
+        more = self._hot(whole.select(F.col("s").alias("pre")))
+        self.hot = np.union1d(self.hot, more)
+        late = self.spark.sparkContext.broadcast(self.hot)
+        moved = materialize(self._opening(late).unionByName(restless).distinct(), "jaccard-moved")
+        self.whole = materialize(whole.unionByName(self._read_sets(moved.join(whole, "c", "left_anti"))), "jaccard-settled")
+
+        def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                sets = [np.frombuffer(x, np.uint64) for x in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([prefix(x, late.value).tobytes() for x in sets], pa.binary())], names=["c", "n", "pre"])
+
+        anew = self.whole.mapInArrow(taken, "c long, n long, pre binary")
+        before = self.pre
+        self.pre = materialize(before.join(self.whole.select("c"), "c", "left_anti").unionByName(anew), "jaccard-prefixes")
+        discard(before)
+        self.count_lists()
+
+    def _opening(self, tokens) -> DataFrame:
+        """c of the classes whose prefixes hold one of the broadcast shingles."""
+
+        def holding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                keep = [bool(_among(np.frombuffer(x, np.uint64), tokens.value).any()) for x in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep, pa.bool_()))], names=["c"])
+
+        return self.pre.select("c", "pre").mapInArrow(holding, "c long")
 
     # -- whole sets and links
 
     def sets(self, wanted: DataFrame) -> DataFrame:
-        """c, s: whole sets of the classes in wanted (column c), read from the texts again."""
-        ids = materialize(self.classes.join(wanted.distinct(), "c", "left_semi").select("c", "low", "fp"), "jaccard-wanted")
+        """c, s: whole sets of the classes in wanted (column c)."""
+        wanted = materialize(wanted.distinct(), "jaccard-wanted")
+        if self.whole is None:
+            return self._read_sets(wanted)
+        return self.whole.join(wanted, "c", "left_semi").unionByName(self._read_sets(wanted.join(self.whole, "c", "left_anti")))
+
+    def _read_sets(self, wanted: DataFrame) -> DataFrame:
+        """Whole sets, from the texts again."""
+        ids = materialize(self.classes.join(wanted, "c", "left_semi").select("c", "low", "fp"), "jaccard-ids")
         few = ids.count() <= BROADCAST_IDS
         rows = self.docs.join(F.broadcast(ids) if few else ids, F.col("_id").eqNullSafe(F.col("low"))).select("c", "fp", "_t")
 
@@ -236,50 +276,75 @@ class Join:
                         out.append(s.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(out, pa.binary())], names=["c", "s"])
 
-        return materialize(rows.mapInArrow(whole, "c long, s binary").dropDuplicates(["c"]), "jaccard-whole")
+        out = rows.mapInArrow(whole, "c long, s binary")
+        return materialize(out.dropDuplicates(["c"]) if self.repeats else out, "jaccard-whole")
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """Those of pairs (x, y) that link."""
+    def compared(self, pairs: DataFrame) -> DataFrame:
+        """x, y, nx, ny and their overlap o, with r, how many members of x are in neither y nor x's prefix, and flags, which members
+        of x's prefix are in y."""
         sets = self.sets(pairs.select(F.explode(F.array("x", "y")).alias("c")))
         both = pairs.select("x", "y").join(sets.select(F.col("c").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("c").alias("y"), F.col("s").alias("sy")), "y")
+        hot = self.spark.sparkContext.broadcast(self.hot)
 
         def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 x, y = b.column(0).to_pylist(), b.column(1).to_pylist()
-                keep, last = [], None
+                rows, last = [], None
                 for k in sorted(range(len(x)), key=lambda k: (y[k], x[k])):
                     s = np.frombuffer(b.column(2)[k].as_py(), np.uint64)
                     if last is None or last[0] != y[k]:
                         t = np.frombuffer(b.column(3)[k].as_py(), np.uint64)
-                        both = int(_among(s, t).sum())
+                        o = int(_among(s, t).sum())
                     else:  # what left the set before and what came, against the same partner
-                        _, t, before, both = last
+                        _, t, before, o = last
                         gone, new = before[~_among(before, s)], s[~_among(s, before)]
-                        both += int(_among(new, t).sum()) - int(_among(gone, t).sum())
-                    last = (y[k], t, s, both)
-                    if 9 * both >= 4 * (len(s) + len(t)):
-                        keep.append(k)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), b.column(1).take(pa.array(keep, pa.int64()))], names=["x", "y"])
-
-        return both.select("x", "y", "sx", "sy").mapInArrow(checked, "x long, y long")
-
-    def led(self) -> DataFrame:
-        """node, root of the classes that link with the leader of a large list of their first shingles."""
-        first = F.array(*[F.substring("pre", 8 * k + 1, 8) for k in range(3)])
-        opened = self.pre.select("c", "n", F.explode(first).alias("t")).where("octet_length(t) = 8")
-        lists = opened.groupBy("t").agg(F.min(F.struct("c", "n")).alias("lead"), F.count("*").alias("k")).where(F.col("k") >= LEADER_FROM).select("t", F.col("lead.c").alias("y"), F.col("lead.n").alias("m"))
+                        o += int(_among(new, t).sum()) - int(_among(gone, t).sum())
+                    last = (y[k], t, s, o)
+                    inside = _among(prefix(s, hot.value), t)
+                    rows.append({"x": x[k], "y": y[k], "nx": len(s), "ny": len(t), "o": o, "r": len(s) - o - int((~inside).sum()), "flags": np.packbits(inside).tobytes()})
+                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("x", pa.int64()), ("y", pa.int64()), ("nx", pa.int32()), ("ny", pa.int32()), ("o", pa.int32()), ("r", pa.int32()), ("flags", pa.binary())]))
+
+        return both.select("x", "y", "sx", "sy").mapInArrow(checked, "x long, y long, nx int, ny int, o int, r int, flags binary")
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """Those of pairs (x, y) that link."""
+        return self.compared(pairs).where(LINKS).select("x", "y")
+
+    def led(self) -> tuple[DataFrame, DataFrame]:
+        """Of the classes in large lists: what the comparison with their leader gave (c, y, o, r, flags), and the components (node, root)
+        of those that link with theirs."""
+        large = self.spark.sparkContext.broadcast(self.large)
+
+        def opening(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                rows = []
+                for c, n, raw in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                    s = np.frombuffer(raw, np.uint64)
+                    common = s[_among(s, large.value)]
+                    rows += [{"c": c, "n": n, "rare": len(s) - len(common), "t": t} for t in common[:LEADERS].view(np.int64).tolist()]
+                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("c", pa.int64()), ("n", pa.int64()), ("rare", pa.int32()), ("t", pa.int64())]))
+
+        opened = materialize(self.pre.select("c", "n", "pre").mapInArrow(opening, "c long, n long, rare int, t long"), "jaccard-opened")
+        lists = opened.groupBy("t").agg(F.min(F.struct("rare", "c", "n")).alias("lead"), F.count("*").alias("k")).where("k > 1").select("t", F.col("lead.c").alias("y"), F.col("lead.n").alias("m"))
         pairs = opened.join(lists, "t").where("c <> y and 5 * least(n, m) >= 4 * greatest(n, m)").select(F.col("c").alias("x"), "y").distinct()
         pairs = materialize(pairs, "jaccard-leaders")
-        return materialize(components(self.links(pairs)), "jaccard-led")
+        got = materialize(self.compared(pairs), "jaccard-compared")
+        own = got.select("y", "ny").distinct().join(self.pre.select(F.col("c").alias("y"), "pre"), "y").select(F.col("y").alias("x"), "y", F.col("ny").alias("nx"), "ny", F.col("ny").alias("o"), F.lit(0).alias("r"), F.unhex(F.repeat(F.lit("FF"), F.ceil(F.octet_length("pre") / 64).cast("int"))).alias("flags"))
+        near = got.unionByName(own).groupBy("x").agg(F.max(F.struct((F.col("o") / (F.col("nx") + F.col("ny") - F.col("o"))).alias("near"), "y", "o", "r", "flags")).alias("b")).select(F.col("x").alias("c"), "b.y", "b.o", "b.r", "b.flags")
+        return materialize(near, "jaccard-near"), materialize(components(got.where(LINKS)), "jaccard-led")
 
-    def candidates(self, led: DataFrame) -> DataFrame:
-        """Pairs x < y of classes of different components that may link."""
-        buckets, shared = self.buckets, self.spark.sparkContext.broadcast(self.bitmap())
-        pre = self.pre.join(led.withColumnRenamed("node", "c"), "c", "left").select("c", "n", F.coalesce("root", "c").alias("root"), "pre")
+    def candidates(self, near: DataFrame, led: DataFrame) -> DataFrame:
+        """Pairs x < y of classes of different components that may link.
+
+        Two classes with one leader share at most the lesser of their overlaps with it, those of its non-members that both prefixes
+        hold, and what is in neither prefix. Where that can't be enough, lists of the leader's members skip the pair.
+        """
+        buckets, shared = self.buckets, self.spark.sparkContext.broadcast(self.bits)
+        pre = self.pre.select("c", "n", "pre").join(led.withColumnRenamed("node", "c"), "c", "left").join(near, "c", "left").select("c", "n", F.coalesce("root", "c").alias("root"), F.coalesce("y", F.lit(-1)).alias("y"), F.coalesce("o", F.lit(0)).alias("o"), F.coalesce("r", F.lit(0)).alias("r"), F.coalesce("flags", F.lit(b"")).alias("flags"), "pre")
 
         def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                raw = b.column(3).to_pylist()
+                raw = b.column(7).to_pylist()
                 size = np.array([len(x) // 8 for x in raw], np.int64)
                 tokens = np.frombuffer(b"".join(raw), np.uint64)
                 owner = np.repeat(np.arange(len(raw)), size)
@@ -287,66 +352,138 @@ class Join:
                 bucket, bit = _spots(tokens, buckets)
                 kept = np.flatnonzero(shared.value[bucket, bit >> 3] >> (7 - (bit & 7)) & 1)
                 if len(kept):
+                    inside = np.concatenate([np.unpackbits(np.frombuffer(f, np.uint8))[:n] if f else np.zeros(n, np.uint8) for f, n in zip(b.column(6).to_pylist(), size.tolist(), strict=True)])
                     o = owner[kept]
-                    c, n, root = (b.column(k).to_numpy() for k in range(3))
-                    yield _dealt(bucket[kept], tokens[kept], c[o], n[o].astype(np.int32), root[o], at[kept].astype(np.int32))
+                    value = [b.column(k).to_numpy() for k in range(6)]
+                    yield _dealt(bucket[kept], tokens[kept], *(value[k][o].astype(kind) for k, kind in enumerate(_POSTING[1:7])), at[kept].astype(np.int32), inside[kept])
+
+        columns = ", ".join(f"c{k} binary" for k in range(len(_POSTING)))
+        met = pre.mapInArrow(dealt, f"bucket long, {columns}").groupBy("bucket").applyInArrow(_met, "x long, y long, nx int, ny int, k int, i int, j int, most int")
+        met = met.groupBy("x", "y").agg(F.first("nx").alias("nx"), F.first("ny").alias("ny"), F.sum("k").alias("k"), F.max("i").alias("i"), F.max("j").alias("j"), F.max("most").alias("most"))
+        # up to the last common member, and up to the end of the prefix that ends first, all but k members are in one set only
+        ends = lambda n: n - F.ceil(F.lit(4) * n / 5) + 1
+        size = F.col("nx") + F.col("ny")
+        apart = F.least(ends(F.col("nx")) + F.col("j") + 1, ends(F.col("ny")) + F.col("i") + 1) - 2 * F.col("k")
+        least = F.ceil(F.lit(4) * size / 9)
+        may = F.when(F.col("most") >= 0, F.col("most") + F.col("k") >= least).otherwise(apart <= size - 2 * least)
+        met = materialize(met.where(may).select("x", "y", "nx", "ny"), "jaccard-met")
+        sides = met
+        for side in ("x", "y"):
+            sides = sides.join(self.pre.select(F.col("c").alias(side), F.col("pre").alias(f"p{side}")), side)
+        hot = self.spark.sparkContext.broadcast(self.hot)
+
+        def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                keep = np.zeros(b.num_rows, bool)
+                for k, (nx, ny, px, py) in enumerate(zip(*(b.column(c).to_pylist() for c in range(2, 6)), strict=True)):
+                    keep[k] = _apart(np.frombuffer(px, np.uint64), np.frombuffer(py, np.uint64), hot.value) <= nx + ny - 2 * -(-4 * (nx + ny) // 9)
+                yield pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(keep)) for k in range(2)], names=["x", "y"])
 
-        met = pre.mapInArrow(dealt, "bucket long, c0 binary, c1 binary, c2 binary, c3 binary, c4 binary").groupBy("bucket").applyInArrow(_met, "x long, y long, size int, k int, i int, j int")
-        met = met.groupBy("x", "y").agg(F.first("size").alias("size"), F.sum("k").alias("k"), F.max("i").alias("i"), F.max("j").alias("j"))
-        # of i + 1 and j + 1 members up to the last common one, all but k are in one set only
-        return met.where("i + j + 2 - 2 * k <= size - 2 * ceil(4 * size / 9D)").select("x", "y")
+        return sides.select("x", "y", "nx", "ny", "px", "py").mapInArrow(close, "x long, y long")
 
     def labels(self) -> DataFrame:
         """node, root of classes in components of more than one."""
-        led = self.led()
-        found = materialize(self.links(materialize(self.candidates(led), "jaccard-candidates")), "jaccard-links")
+        self.count_lists()
+        self.settle()
+        near, led = self.led()
+        release(self.spark)
+        found = materialize(self.links(materialize(self.candidates(near, led), "jaccard-candidates")), "jaccard-links")
         return components(found.unionByName(led.select(F.col("node").alias("x"), F.col("root").alias("y"))))
 
 
+def _apart(a: np.ndarray, b: np.ndarray, hot: np.ndarray) -> int:
+    """How many members, up to where the first of two prefixes ends in the order (hot, hash), are in one of them only."""
+    late_a, late_b = _among(a, hot), _among(b, hot)
+    end = min((bool(late_a[-1]), int(a[-1])), (bool(late_b[-1]), int(b[-1])))
+    if end[0]:
+        a, b = a[~late_a | (a <= np.uint64(end[1]))], b[~late_b | (b <= np.uint64(end[1]))]
+    else:
+        a, b = a[~late_a & (a <= np.uint64(end[1]))], b[~late_b & (b <= np.uint64(end[1]))]
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return len(a) + len(b) - 2 * both
+
+
+#: A posting: shingle, class, size, component, leader, overlap with it, members in neither it nor the prefix, position, in the leader.
+_POSTING = [np.uint64, np.int64, np.int32, np.int64, np.int64, np.int32, np.int32, np.int32, np.uint8]
+
+
 def _met(t: pa.Table) -> pa.Table:
-    """Pairs of classes that meet in the lists of a bucket: size of both, how often, and the last position in either."""
-    token, c, n, root, at = _gathered(t, [np.uint64, np.int64, np.int32, np.int64, np.int32])
-    order = np.lexsort((n, token))
-    token, c, n, root, at = token[order], c[order], n[order].astype(np.int64), root[order], at[order].astype(np.int64)
+    """Pairs of classes that meet in the lists of a bucket: sizes, how often, the last position in either, and for pairs with one leader the
+    most that they can share apart from that leader's non-members met here (else -1)."""
+    columns = _gathered(t, _POSTING)
+    order = np.lexsort((columns[2], columns[0]))
+    token, *rest, inside = (v[order] for v in columns)
+    c, n, root, lead, o, r, at = (v.astype(np.int64) for v in rest)
     first = np.flatnonzero(np.diff(token, prepend=~token[:1]) != 0)
     stop = np.append(first[1:], len(token))
-    end = np.repeat(stop, stop - first)
-    # the block of later members whose size is at most 5/4: found by position, the rest of the list is skipped
     rank = np.repeat(np.arange(len(first)), stop - first)
-    scale = int(n.max()) * 2 + 2 if len(n) else 1
-    limit = np.minimum(end, np.searchsorted(rank * scale + n, rank * scale + np.minimum(n * 5 // 4, scale - 1), side="right"))
     parts = []
-    todo = np.maximum(limit - np.arange(len(token)) - 1, 0)
-    begin = 0
-    while begin < len(token):  # in slices of about a million pairs
-        many = np.searchsorted(np.cumsum(todo[begin:]), 1_000_000) + 1
-        rows = np.arange(begin, min(len(token), begin + many))
-        begin += many
-        counts = todo[rows]
-        if not counts.sum():
-            continue
-        a = np.repeat(rows, counts)
-        b = np.arange(len(a)) - np.repeat(np.cumsum(counts) - counts, counts) + a + 1
-        ok = root[a] != root[b]
-        a, b = a[ok], b[ok]
-        size = n[a] + n[b]
-        most = np.minimum(at[a], at[b]) + 1 + np.minimum(n[a] - at[a], n[b] - at[b]) - 1
-        ok = most * 9 >= size * 4
-        a, b, size = a[ok], b[ok], size[ok]
-        swap = c[a] > c[b]
-        a, b = np.where(swap, b, a), np.where(swap, a, b)
-        parts.append(_summed(c[a], c[b], size, np.ones(len(a), np.int64), at[a], at[b]))
-    x, y, size, k, i, j = _summed(*(np.concatenate(p) for p in zip(*parts, strict=True))) if parts else (np.zeros(0, np.int64),) * 6
-    return pa.table({"x": x, "y": y, "size": pa.array(size, pa.int32()), "k": pa.array(k, pa.int32()), "i": pa.array(i, pa.int32()), "j": pa.array(j, pa.int32())})
-
-
-def _summed(x, y, size, k, i, j):
+
+    def meet(a: np.ndarray, lo: np.ndarray, hi: np.ndarray, among: np.ndarray) -> None:
+        """Members a with those of `among` from lo to hi; about a million pairs at a time."""
+        counts = np.maximum(hi - lo, 0)
+        done, ends = 0, np.cumsum(counts)
+        while done < len(a):
+            upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + 1_000_000, side="right")))
+            k = counts[done:upto]
+            x = np.repeat(a[done:upto], k)
+            y = among[np.arange(len(x)) - np.repeat(np.cumsum(k) - k - lo[done:upto], k)]
+            done = upto
+            least = -(-4 * (n[x] + n[y]) // 9)
+            ok = (root[x] != root[y]) & (np.minimum(at[x], at[y]) + np.minimum(n[x] - at[x], n[y] - at[y]) >= least)
+            one = (lead[x] == lead[y]) & (lead[x] >= 0)
+            most = np.where(one, np.minimum(o[x], o[y]) + r[x] + r[y], -1)
+            ok &= ~one | (inside[x] == 0) | (most >= least)
+            x, y, most = x[ok], y[ok], most[ok]
+            x, y = np.where(c[x] > c[y], y, x), np.where(c[x] > c[y], x, y)
+            parts.append(_summed(c[x], c[y], n[x], n[y], np.ones(len(x), np.int64), at[x], at[y], most))
+
+    def within(a: np.ndarray) -> None:
+        meet(a, np.arange(len(a)) + 1, np.searchsorted(n[a], n[a] * 5 // 4, side="right"), a)
+
+    def between(a: np.ndarray, b: np.ndarray) -> None:
+        if len(a) and len(b):
+            meet(a, np.searchsorted(n[b], -(-4 * n[a] // 5)), np.searchsorted(n[b], n[a] * 5 // 4, side="right"), b)
+
+    # lists that hold several members of one leader are taken apart; in the others, each member meets the block of later ones that are not too large
+    led = np.flatnonzero((lead >= 0) & (inside == 1))
+    owned, many = np.unique(np.stack([rank[led], lead[led]]), axis=1, return_counts=True)
+    apart = np.unique(owned[0][many > 1])
+    plain = np.flatnonzero(~np.isin(rank, apart))
+    if len(plain):
+        scale = int(n.max()) * 2 + 2
+        upto = np.searchsorted(rank * scale + n, rank * scale + np.minimum(n * 5 // 4, scale - 1), side="right")
+        meet(plain, plain + 1, upto[plain], np.arange(len(token)))
+    for k in apart:
+        members = np.arange(first[k], stop[k])
+        rest, groups = members, []
+        for leader in owned[1][(owned[0] == k) & (many > 1)]:
+            mine = (lead[rest] == leader) & (inside[rest] == 1)
+            groups.append(rest[mine])
+            rest = rest[~mine]
+        within(rest)
+        for g, group in enumerate(groups):
+            between(rest, group)
+            for other in groups[g + 1 :]:
+                between(group, other)
+            near = group[o[group] + r[group] + r[group].max() >= -(-4 * (n[group] + n[group].min()) // 9)]
+            roots, sizes = np.unique(root[near], return_counts=True)
+            if len(roots) > 1:  # all but the largest component's members, with each other and with those
+                main = root[near] == roots[sizes.argmax()]
+                within(near[~main])
+                between(near[~main], near[main])
+    names, kinds = ("x", "y", "nx", "ny", "k", "i", "j", "most"), [pa.int64()] * 2 + [pa.int32()] * 6
+    found = _summed(*(np.concatenate(p) for p in zip(*parts, strict=True))) if parts else (np.zeros(0, np.int64),) * 8
+    return pa.table({name: pa.array(v, kind) for name, v, kind in zip(names, found, kinds, strict=True)})
+
+
+def _summed(x, y, nx, ny, k, i, j, most):
     if not len(x):
-        return x, y, size, k, i, j
+        return x, y, nx, ny, k, i, j, most
     order = np.lexsort((y, x))
-    x, y, size, k, i, j = (v[order] for v in (x, y, size, k, i, j))
+    x, y, nx, ny, k, i, j, most = (v[order] for v in (x, y, nx, ny, k, i, j, most))
     f = np.flatnonzero((np.diff(x, prepend=x[0] - 1) != 0) | (np.diff(y, prepend=y[0]) != 0))
-    return x[f], y[f], size[f], np.add.reduceat(k, f), np.maximum.reduceat(i, f), np.maximum.reduceat(j, f)
+    return x[f], y[f], nx[f], ny[f], np.add.reduceat(k, f), np.maximum.reduceat(i, f), np.maximum.reduceat(j, f), most[f]
 
 
 def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
