@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, jpeg, language, mixing, quality, tokens, toxicity, url_filter
+from . import decontaminate, jaccard, jpeg, language, mixing, quality, tokens, toxicity, url_filter, warc
 
 
 def queries() -> dict:
     return {
+        "op1_warc_revisits": warc.op1_warc_revisits,
         "op2_mixing": mixing.op2_mixing,
         "op3_token_counts": tokens.op3_token_counts,
         "op4_quality": quality.op4_quality,
@@ -20,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op10_url_filter": url_filter.OP10_SQL}
+    return {"op1_warc_revisits": warc.OP1_SQL, "op10_url_filter": url_filter.OP10_SQL}
