@@ -18,7 +18,8 @@ BROADCAST_ROWS = 2_000_000
 
 
 def small(df: DataFrame) -> DataFrame:
-    """Marked for broadcast if it was counted and found small."""
+    """Marked for broadcast if it was counted and found small. It is kept from the count to the join: what is behind it may be long."""
+    df = df.persist()
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
