@@ -69,6 +69,30 @@ def tiles(members: DataFrame) -> DataFrame:
     return own.unionByName(gaps.select(start.alias("lo"), (start + quarter).alias("hi"), F.col("compact").alias("answer")))
 
 
+def mask_and_rank(node_table: DataFrame, wanted: DataFrame) -> DataFrame:
+    """mask and child_rank of the nodes that wanted names by level and node_index."""
+    return wanted.join(node_table.select("level", "node_index", "mask", "child_rank"), ["level", "node_index"], "left")
+
+
+def reconstruct(node_table: DataFrame) -> DataFrame:
+    """compact, level of the leaves, from masks and ranks alone: twelve joins from a level's nodes to their children's positions."""
+    spark = node_table.sparkSession
+    n = node_table.select("level", "node_index", "mask", "child_rank")
+    at = spark.range(6).select(F.lit(0).alias("level"), F.col("id").alias("node_index"), cells.shl(F.col("id").cast("int"), 25).bitwiseOR(F.lit(1 << 24)).alias("compact"))
+    out = None
+    for level in range(cells.MAX_COVER_LEVEL):
+        here = at.join(n.where(F.col("level") == level), ["level", "node_index"])
+        ends = here.where("mask = 0").select("compact", "level")
+        out = ends if out is None else out.unionByName(ends)
+        marker = 24 - 2 * level
+        kids = here.where("mask <> 0").select("compact", "mask", "child_rank", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
+        kids = kids.where(cells.shr(F.col("mask"), F.col("k")).bitwiseAND(F.lit(1)) == 1)
+        before = F.bit_count(F.col("mask").bitwiseAND(cells.shl(F.lit(1), F.col("k")) - 1))
+        compact = F.col("compact").bitwiseXOR(F.lit(1 << marker)).bitwiseOR(cells.shl(F.col("k"), marker - 1)).bitwiseOR(F.lit(1 << marker - 2))
+        at = kids.select(F.lit(level + 1).alias("level"), (F.col("child_rank") + before).alias("node_index"), compact.alias("compact"))
+    return out.unionByName(at.select("compact", "level"))
+
+
 def mask_level_totals(node_table: DataFrame) -> DataFrame:
     return node_table.where("level < 12").groupBy("level").agg(F.count("*").alias("nodes"), F.sum(F.bit_count("mask")).cast("long").alias("children"), F.count_if(F.col("mask") == 0).alias("zero_masks"))
 
@@ -134,6 +158,10 @@ class Cover:
         if faces != 63:
             raise ValueError(f"faces without a member: {[f for f in range(6) if not faces >> f & 1]}")
 
+    def snapshot(self) -> Cover:
+        """The same cover, kept in memory or on disk from its first use on."""
+        return Cover(self.spark, self.members.persist())
+
     def leaves(self) -> DataFrame:
         return leaves(self.members)
 

@@ -1,15 +1,19 @@
 """Deepest-ancestor lookups: which cell of a cover answers for a cell.
 
-Three forms with equal answers. `deepest` expands a query to its ancestors and keeps the deepest that is in the tree; the tree is
+Four forms with equal answers. `deepest` expands a query to its ancestors and keeps the deepest that is in the tree; the tree is
 broadcast while it is at most BROADCAST_ROWS rows (the tree of the whole Earth at level 12 is bounded by its levels; that of
 the 1 km raster has under a million), else Spark joins by shuffle. `by_tiles` finds the range that holds a query by an
-equality on the range's aligned block. `by_neighbours` merges queries and leaves along the curve.
+equality on the range's aligned block. `by_neighbours` merges queries and leaves along the curve;
+`by_search` looks queries up in the sorted leaves.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from ..functions import cells
 from . import cover
@@ -73,6 +77,33 @@ def by_neighbours(queries: DataFrame, leaf_cells: DataFrame, compact: str = "com
     return queries.join(hit, F.col(compact) == F.col("_q"), "left").select(*queries.columns, "answer", "answer_level")
 
 
+def by_search(queries: DataFrame, leaf_cells: DataFrame, compact: str = "compact") -> DataFrame:
+    """The same by binary search in the sorted leaves, which are sent to all workers; a table of more than BROADCAST_ROWS is refused."""
+    spark = queries.sparkSession
+    if leaf_cells.count() > BROADCAST_ROWS:
+        raise ValueError(f"more than {BROADCAST_ROWS} leaves; use by_neighbours")
+    ordered = spark.sparkContext.broadcast(np.sort(leaf_cells.select("compact").toPandas()["compact"].to_numpy(np.int64)))
+
+    def levels(c: np.ndarray) -> np.ndarray:
+        return 12 - (np.bitwise_count((c & -c) - 1).astype(np.int64) >> 1)
+
+    def shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        most = np.minimum(levels(a), levels(b))
+        differ = (a ^ b) >> 25 - 2 * most
+        bits = np.ceil(np.log2(differ + 1.0)).astype(np.int64)
+        return np.where(a >> 25 == b >> 25, (2 * most - bits) // 2, -1)
+
+    @F.pandas_udf(IntegerType())
+    def level(c: pd.Series) -> pd.Series:
+        q, known = c.to_numpy(np.int64), ordered.value
+        at = np.searchsorted(known, q)
+        before, after = known[np.maximum(at - 1, 0)], known[np.minimum(at, len(known) - 1)]
+        return pd.Series(np.maximum(shared(q, before), shared(q, after)).astype(np.int32))
+
+    found = queries.withColumn("answer_level", level(F.col(compact)))
+    return found.select(*queries.columns, cells.compact_ancestor(compact, F.col("answer_level")).alias("answer"), "answer_level")
+
+
 def _shared(a: Column, b: Column) -> Column:
     """Level of the deepest common ancestor of two compact ids; null for different faces."""
     most = F.least(cells.compact_level(a), cells.compact_level(b))

@@ -94,6 +94,7 @@ def sql() -> dict[str, str]:
         "populated_cells_per_level": base + "SELECT level, count(*) AS cells FROM pop GROUP BY 1",
         "qualifying_tree": base + "SELECT level, compact FROM tree",
         "leaf_cells": base + "SELECT compact, level FROM leaf",
+        "reconstructed_leaves": base + "SELECT compact, level FROM leaf",
         "leaf_level_histogram": base + "SELECT level, count(*) AS cell_count, count(*) * CAST(1 AS DOUBLE) / (SELECT count(*) FROM leaf) * 100 AS pct FROM leaf GROUP BY 1",
         "leaf_histogram_text": base + "SELECT string_agg('L' || CAST(level AS VARCHAR) || ': ' || CAST(n AS VARCHAR), ', ' ORDER BY level) AS text FROM (SELECT level, count(*) AS n FROM leaf GROUP BY 1) g",
         "leaf_closure": base + "SELECT level, compact FROM tree",
@@ -106,6 +107,7 @@ def sql() -> dict[str, str]:
         "lookup_deepest": lookup,
         "lookup_tiles": lookup,
         "lookup_neighbors": lookup,
+        "lookup_search": lookup,
         "lookup_level_histogram": with_events + "SELECT answer_level AS level, count(*) AS n FROM ans GROUP BY 1",
         "lookup_mixed_levels": mixed,
         "lookup_neighbors_mixed": mixed,

@@ -117,8 +117,8 @@ def overlap_check(spark, d):
 
 def leaf_set_difference(spark, d):
     """Leaves against those that are rebuilt from the masks of the nodes."""
-    tree = _tree(spark, d)
-    return verify.set_difference(cover.leaves(tree).select("compact"), cover.leaves(cover.closure(cover.leaves(tree))).select("compact"))
+    tree = _tree(spark, d).persist()
+    return verify.set_difference(cover.leaves(tree).select("compact"), cover.reconstruct(cover.nodes(tree).persist()).select("compact"))
 
 
 def oracle_mismatch_count(spark, d):
@@ -141,6 +141,7 @@ def queries() -> dict:
         "populated_cells_per_level": lambda spark, d: rollup.cells_per_level(_population(spark, d)),
         "qualifying_tree": _tree,
         "leaf_cells": tree(cover.leaves),
+        "reconstructed_leaves": lambda spark, d: cover.reconstruct(cover.nodes(_tree(spark, d)).persist()),
         "leaf_level_histogram": tree(lambda t: cover.level_histogram(cover.leaves(t))),
         "leaf_histogram_text": tree(lambda t: cover.format_histogram(cover.leaves(t))),
         "leaf_closure": tree(lambda t: cover.closure(cover.leaves(t))),
@@ -153,6 +154,7 @@ def queries() -> dict:
         "lookup_deepest": partial(_lookup, lookup.deepest),
         "lookup_tiles": partial(_lookup, lookup.by_tiles),
         "lookup_neighbors": partial(_lookup, lookup.by_neighbours),
+        "lookup_search": lambda spark, d: lookup.by_search(_events(spark, d), cover.leaves(_tree(spark, d)).persist()).select("event_id", "answer", "answer_level"),
         "lookup_level_histogram": lambda spark, d: workload.answer_histogram(_lookup(lookup.deepest, spark, d)),
         "lookup_mixed_levels": lookup_mixed_levels,
         "lookup_neighbors_mixed": lookup_neighbors_mixed,

@@ -54,6 +54,14 @@ def test_leaves_masks_nodes(spark, tree):
             rank += len(kids)
 
 
+def test_reconstruction(spark, tree):
+    members, df = tree
+    n = cover.nodes(df).persist()
+    assert verify.set_difference(cover.reconstruct(n), cover.leaves(df)).agg(F.sum("n")).first()[0] == 0
+    got = cover.mask_and_rank(n, spark.createDataFrame([(0, 0), (0, 99)], "level int, node_index long")).orderBy("node_index").collect()
+    assert got[0]["child_rank"] == 0 and got[1]["mask"] is None
+
+
 def test_tiles_cover_everything(spark, tree):
     t = sorted((r["lo"], r["hi"]) for r in cover.tiles(tree[1]).collect())
     assert t[0][0] == 0 and t[-1][1] == 6 << 25 and all(a[1] == b[0] for a, b in zip(t, t[1:]))
@@ -69,7 +77,7 @@ def test_lookups_agree_with_the_walk(spark, tree):
         q.append((k, anc(c, r.randrange(level(c) + 1))))
     want = {k: max((anc(c, l) for l in range(level(c) + 1) if anc(c, l) in members), key=level) for k, c in q}
     queries = spark.createDataFrame(q, "k long, compact int")
-    for got in (lookup.deepest(queries, df), lookup.by_tiles(queries, df), lookup.by_neighbours(queries, cover.leaves(df)), lookup.by_neighbours(queries, cover.leaves(df), block_level=0)):
+    for got in (lookup.deepest(queries, df), lookup.by_tiles(queries, df), lookup.by_neighbours(queries, cover.leaves(df)), lookup.by_neighbours(queries, cover.leaves(df), block_level=0), lookup.by_search(queries, cover.leaves(df))):
         assert {x["k"]: x["answer"] for x in got.collect()} == want
         assert all(x["answer_level"] == level(x["answer"]) for x in got.collect())
 
@@ -147,6 +155,12 @@ def test_workloads(spark, tree):
         s, v = step(s)
         want.append(v)
     assert workload.splitmix64(np.arange(5)).tolist() == want
+    x, want = 5, []
+    for _ in range(6):
+        x = (x * workload.LCG_A + workload.LCG_C) & (1 << 64) - 1
+        want.append(x)
+    assert workload.lcg64(np.arange(6), 5).tolist() == want
+    assert workload.spread_level_30(spark, 40).where(cells.level("cell_id") != 30).count() == 0
     q = workload.global_level_30(spark, 60)
     assert q.where(cells.level("cell_id") != 30).count() == 0 and q.select(cells.face("cell_id")).distinct().count() == 6
     q = workload.stored_descendants(cover.leaves(tree[1]), 300).select("cell_id", cells.to_compact("cell_id").alias("compact"))
