@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import ctypes
 import gc
 import os
+import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +26,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share; one of our own only where none is configured."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="gridcover-")
+        own = tempfile.mkdtemp(prefix="gridcover-")
+        atexit.register(shutil.rmtree, own, True)
+        found = "file://" + own
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -61,6 +67,26 @@ def short_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+def tidy(f):
+    """A function over batches that gives freed memory back when a partition ends: Python workers live on, beside each other."""
+
+    def over(batches):
+        try:
+            yield from f(batches)
+        finally:
+            trim()
+
+    return over
+
+
+def trim() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def held_out(doc_id: Column | str, mod: int, rest: int) -> Column:
     """Whether a document is kept from learning: crc32 of its id as text, modulo `mod`, is `rest`. A null id counts as ''."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
-from .common import short_batches, table
+from .common import short_batches, table, tidy
 from .fm_index import FMIndex
 
 SHARD_WORDS, BLOCK_BYTES = 2_000_000, 4 << 20
@@ -190,7 +190,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str
                     yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), n, pa.array(s, pa.list_(pa.list_(pa.int32()))), pa.array(f, pa.list_(pa.string()))], names=[*(b.schema.names[c] for c in keep), *names])
                     k += b.num_rows
 
-        return df.mapInArrow(searched, schema)
+        return df.mapInArrow(tidy(searched), schema)
 
     # without a benchmark, the words are still counted
     done = False
@@ -235,7 +235,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: st
                         yield b
                     k += b.num_rows
 
-        return df.mapInArrow(cleaned, schema)
+        return df.mapInArrow(tidy(cleaned), schema)
 
     blocks = _blocks(benchmark, item_col, item_text, window)
     for phrases in blocks:
@@ -252,3 +252,17 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x[1] - x[0]).alias("n_hit"),
         F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"),
     )
+
+
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), bw AS (SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(list_slice(w, i, i + least(len(w), 10) - 1), ' ') AS p FROM (SELECT item, w, unnest(range(1, greatest(2, len(w) - 8))) AS i FROM b WHERE len(w) > 0) x
+), sizes AS (SELECT DISTINCT n FROM bw
+), dw AS (SELECT doc_id, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS p FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n) x
+), hit AS (SELECT doc_id, i, bw.n, item FROM dw JOIN bw ON dw.n = bw.n AND dw.p = bw.p
+), words AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM (SELECT DISTINCT doc_id, i, n FROM hit) y) z GROUP BY 1
+), items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item FROM hit) q GROUP BY 1)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN words ON d.doc_id = words.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
+"""

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import short_batches, table
+from .common import short_batches, table, tidy
 
 BLOCKS_A_ROW, MOST_ROWS = 64, 8191
 #: Huffman tables of our own images, as (codes of each length, symbols): DC by size of the difference, AC with end-of-block
@@ -341,7 +341,7 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
 
 
 #: Payload bytes that are coded and decoded together.
-BYTES_AT_ONCE = 2 << 20
+BYTES_AT_ONCE = 1 << 20
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -362,7 +362,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(start, stop - start), pa.array(sizes, pa.int64()), pa.array(encode_all(payloads), pa.binary())], names=["id", "n_bytes", "media"])
                 start = stop
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(stored, f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(tidy(stored), f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_col)
 
 
 def features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -388,7 +388,7 @@ def features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(start, stop - start), b.column(1).slice(start, stop - start), *t.columns], names=["id", "n_bytes", *t.schema.names])
                 start = stop
 
-    out = media.select(id_col, "n_bytes", "media").mapInArrow(read, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    out = media.select(id_col, "n_bytes", "media").mapInArrow(tidy(read), f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
     return out.withColumnRenamed("id", id_col)
 
 

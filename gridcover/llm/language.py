@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, short_batches, table
+from .common import held_out, short_batches, table, tidy
 
 MATRIX_BYTES = 16 << 20
-CHARS_AT_ONCE = 1 << 20
+CHARS_AT_ONCE = 1 << 18
 
 _TABLE: np.ndarray | None = None
 
@@ -108,7 +108,7 @@ def learn(docs: DataFrame, fit_per_lang: int = 4000, seed: int = 11, smoothing:
             part = hit[k : k + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(total[part], pa.int64())], names=["cell", "n"])
 
-    cells = sample.mapInArrow(counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cells = sample.mapInArrow(tidy(counted), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros(len(langs) * buckets)
     total[cells.column(0).to_numpy()] = cells.column(1).to_numpy()
     total = total.reshape(len(langs), buckets) + smoothing
@@ -149,7 +149,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
 
     from pyspark.sql.types import DoubleType, StringType, StructType
 
-    return docs.mapInArrow(scored, StructType([*docs.schema.fields]).add(pred_col, StringType()).add(score_col, DoubleType()))
+    return docs.mapInArrow(tidy(scored), StructType([*docs.schema.fields]).add(pred_col, StringType()).add(score_col, DoubleType()))
 
 
 def learn_from(docs: DataFrame) -> tuple[list[str], np.ndarray]:

@@ -21,4 +21,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_warc_revisits": warc.OP1_SQL, "op10_url_filter": url_filter.OP10_SQL}
+    return {
+        "op1_warc_revisits": warc.OP1_SQL,
+        "op5_jaccard": jaccard.OP5_SQL,
+        "op8_decontaminate": decontaminate.OP8_SQL,
+        "op10_url_filter": url_filter.OP10_SQL,
+    }

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import short_batches, table
+from .common import short_batches, table, tidy
 
 MEMORY = 300_000
 #: The pre-token pattern of the byte-level vocabulary, with classes that both engines know.
@@ -117,7 +117,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out[0], pa.int64()), n, pa.array([x > limit for x in out[1]], pa.bool_())], names=["id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(counted, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(tidy(counted), f"id {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
