@@ -1,7 +1,7 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nyström landmarks (operator 9).
 
 Kernel: two words are compared by the subsequences of ORDER characters that they share; each counts DECAY to the power of the
-characters that it spans in either word, spans over REACH are left out, and the kernel is normalised. Inserted
+characters that it spans in either word, spans over REACH are left out, and the kernel is normalised by the words' lengths. Inserted
 characters and gaps therefore cost some weight but do not hide a word. A word's beginning and end are characters too.
 Characters that are no letters are dropped within a token, and letters that stand alone one after the other are also
 read as one word.
@@ -34,12 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, materialize, short_batches, table
+from .common import held_out, materialize, short_batches, table, tidy
 
 ORDER, REACH, DECAY = 3, 6, 0.7
 #: Letters of a word that are looked at together; longer words are read in overlapping pieces.
 PIECE = 16
-MEMORY = 400_000
+MEMORY = 200_000
 _MARK, _LETTERS = 63, 64
 _SPACED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
 _LOWEST = -2.0
@@ -66,23 +66,21 @@ def pieces(word: str) -> list[str]:
 
 
 def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the subsequences of each word (at most PIECE letters; 0 where there is none) and 1 / norm."""
+    """Codes of the subsequences of each word (at most PIECE letters; 0 where there is none) and its factor."""
     chars = np.zeros((len(words), PIECE + 2), np.int32)
     for n, w in enumerate(words):
         chars[n, : len(w) + 2] = (_MARK, *map(_letter, w), _MARK)
     (i, j, k), weight = _positions()
     codes = (chars[:, i] * _LETTERS + chars[:, j]) * _LETTERS + chars[:, k]
     codes[chars[:, k] == 0] = 0
-    # the norm is that of the sums over equal codes
-    order = np.argsort(codes, axis=1)
-    ranked, w = np.take_along_axis(codes, order, axis=1), np.where(codes > 0, weight, 0)
-    w = np.take_along_axis(w, order, axis=1)
-    same = np.zeros(codes.shape, bool)
-    same[:, 1:] = ranked[:, 1:] == ranked[:, :-1]
-    group = np.cumsum(~same.ravel()) - 1
-    sums = np.bincount(group, weights=w.ravel())
-    norm = np.add.reduceat(sums**2, group.reshape(codes.shape)[:, 0])
-    return codes, (1 / np.sqrt(np.maximum(norm, 1e-12))).astype(np.float32)
+    return codes, _scale()[[len(w) for w in words]]
+
+
+@cache
+def _scale() -> np.ndarray:
+    """1 / norm of a word of each length, taken as if none of its subsequences came twice. A word's own factor keeps the kernel one."""
+    at, weight = _positions()
+    return np.array([1 / np.sqrt((weight[at[-1] < n + 2] ** 2).sum()) if n + 2 >= ORDER else 1.0 for n in range(PIECE + 1)], np.float32)
 
 
 def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
@@ -122,7 +120,7 @@ class Machine:
         out = np.zeros(len(words), np.float32)
         for k in range(0, len(words), 1024):
             c, s = subsequences(words[k : k + 1024])
-            out[k : k + 1024] = self.table[c] @ weight * s
+            out[k : k + 1024] = (self.table[c] * weight).sum(axis=1) * s  # row by row alike, whatever the batch
         return out + self.bias
 
     def learn_tokens(self, tokens: list[str]) -> None:
@@ -303,8 +301,9 @@ def _best(sample: DataFrame, machine: Machine) -> DataFrame:
         for b in batches:
             got = _in_batches(b.column(1), shared.value)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v for v, _ in got], pa.float64()), pa.array([w for _, w in got], pa.string())], names=["_y", "v", "w"])
+        shared.value.known.clear()
 
-    return sample.select("_y", "_t").mapInArrow(valued, "_y int, v double, w string")
+    return sample.select("_y", "_t").mapInArrow(tidy(valued), "_y int, v double, w string")
 
 
 def score(docs: DataFrame, machine: Machine, text_col: str = "text", score_col: str = "toxicity") -> DataFrame:
@@ -325,7 +324,7 @@ def score(docs: DataFrame, machine: Machine, text_col: str = "text", score_col:
 
     from pyspark.sql.types import DoubleType, StructType
 
-    return docs.mapInArrow(scored, StructType([*docs.schema.fields]).add(score_col, DoubleType()))
+    return docs.mapInArrow(tidy(scored), StructType([*docs.schema.fields]).add(score_col, DoubleType()))
 
 
 def learn_from(docs: DataFrame, labels: DataFrame) -> Machine:
