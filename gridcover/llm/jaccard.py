@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, free_name, materialize, release, short_batches, table
+from .common import discard, free_name, materialize, release, short_batches, table, tidy
 from .components import components
 
 SHINGLE = 5
@@ -48,29 +48,18 @@ HOT, MOST_HOT, BITMAP_BITS, BROADCAST_IDS = 8, 1 << 19, 1 << 26, 200_000
 LEADER_FROM = 8
 #: How many of a class's first shingles of large lists look for a leader.
 LEADERS = 4
+#: Classes with one leader that are compared in one block.
+GROUP = 5000
 #: The condition on two sizes and an overlap.
 LINKS = "180 * o >= 80 * (nx + ny)"
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _ODD = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
-class _Hashes(dict):
-    """Hashes of words, emptied when there are many."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_HASHES = _Hashes()
-
-
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """The sorted distinct hashes of a text's shingles."""
     words = _WORD.findall(text.encode("utf-8", "surrogatepass").lower()) if text else []
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     if len(h) < size:
         return np.array([xxhash.xxh64_intdigest(h.tobytes(), seed=len(h))], np.uint64) if len(h) else h
     out = h[: len(h) - size + 1] * _ODD[0]
@@ -79,7 +68,8 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     out ^= out >> np.uint64(32)
     out *= _ODD[1]
     out ^= out >> np.uint64(29)
-    return np.unique(out)
+    out.sort()
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def fingerprint(s: np.ndarray) -> bytes:
@@ -149,13 +139,13 @@ class Join:
                     pre.append(s[: prefix_length(len(s))].tobytes() if len(s) else b"")
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(pre, pa.binary())], names=["_id", "n", "fp", "pre"])
 
-        read = materialize(self.docs.mapInArrow(sets, f"_id {self.id_type}, n long, fp binary, pre binary"), "jaccard-read")
+        read = materialize(self.docs.mapInArrow(tidy(sets), f"_id {self.id_type}, n long, fp binary, pre binary"), "jaccard-read")
         total = read.agg(F.sum(F.octet_length("pre"))).first()[0] or 0
         self.buckets = int(min(1 << 20, max(64, total // 8 // 100_000)))
         self.hot = self._hot(read)
         self.rows = materialize(read.select("_id", "n", "fp"), "jaccard-rows")
         discard(read)
-        classes = self.rows.where("n > 0").groupBy("fp").agg(F.min("_id").alias("low"), F.first("n").alias("n"))
+        classes = self.rows.where("n > 0").groupBy("fp").agg(F.min("_id").alias("low"), F.first("n").alias("n"), F.count("*").alias("copies"))
         self.classes = materialize(classes.withColumn("c", F.monotonically_increasing_id()), "jaccard-classes")
         self.repeats = not self.rows.groupBy("_id").count().where("count > 1").isEmpty()
 
@@ -170,7 +160,7 @@ class Join:
                 if len(tokens):
                     yield _dealt(_spots(tokens, buckets)[0], tokens)
 
-        return pre.select("pre").mapInArrow(dealt, "bucket long, c0 binary").groupBy("bucket")
+        return pre.select("pre").mapInArrow(tidy(dealt), "bucket long, c0 binary").groupBy("bucket")
 
     def _hot(self, pre: DataFrame) -> np.ndarray:
         least = self.hot_from
@@ -192,8 +182,8 @@ class Join:
                 pre = [prefix(s, shared.value) for s in sets]
                 yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in pre], pa.binary())], names=["fp", "pre"])
 
-        pre = self.docs.select("_t").mapInArrow(taken, "fp binary, pre binary").groupBy("fp").agg(F.first("pre").alias("pre"))
-        self.pre = materialize(pre.join(self.classes, "fp").select("c", "n", "pre"), "jaccard-prefixes")
+        pre = self.docs.select("_t").mapInArrow(tidy(taken), "fp binary, pre binary").groupBy("fp").agg(F.first("pre").alias("pre"))
+        self.pre = materialize(pre.join(self.classes.select("c", "n", "fp"), "fp").select("c", "n", "pre"), "jaccard-prefixes")
         release(self.spark)
 
     def count_lists(self) -> None:
@@ -235,7 +225,7 @@ class Join:
                 sets = [np.frombuffer(x, np.uint64) for x in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([prefix(x, late.value).tobytes() for x in sets], pa.binary())], names=["c", "n", "pre"])
 
-        anew = self.whole.mapInArrow(taken, "c long, n long, pre binary")
+        anew = self.whole.mapInArrow(tidy(taken), "c long, n long, pre binary")
         before = self.pre
         self.pre = materialize(before.join(self.whole.select("c"), "c", "left_anti").unionByName(anew), "jaccard-prefixes")
         discard(before)
@@ -249,7 +239,7 @@ class Join:
                 keep = [bool(_among(np.frombuffer(x, np.uint64), tokens.value).any()) for x in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep, pa.bool_()))], names=["c"])
 
-        return self.pre.select("c", "pre").mapInArrow(holding, "c long")
+        return self.pre.select("c", "pre").mapInArrow(tidy(holding), "c long")
 
     # -- whole sets and links
 
@@ -263,8 +253,7 @@ class Join:
     def _read_sets(self, wanted: DataFrame) -> DataFrame:
         """Whole sets, from the texts again."""
         ids = materialize(self.classes.join(wanted, "c", "left_semi").select("c", "low", "fp"), "jaccard-ids")
-        few = ids.count() <= BROADCAST_IDS
-        rows = self.docs.join(F.broadcast(ids) if few else ids, F.col("_id").eqNullSafe(F.col("low"))).select("c", "fp", "_t")
+        rows = self.docs.join(_few(ids), F.col("_id").eqNullSafe(F.col("low"))).select("c", "fp", "_t")
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -276,7 +265,7 @@ class Join:
                         out.append(s.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(out, pa.binary())], names=["c", "s"])
 
-        out = rows.mapInArrow(whole, "c long, s binary")
+        out = rows.mapInArrow(tidy(whole), "c long, s binary")
         return materialize(out.dropDuplicates(["c"]) if self.repeats else out, "jaccard-whole")
 
     def compared(self, pairs: DataFrame) -> DataFrame:
@@ -304,7 +293,7 @@ class Join:
                     rows.append({"x": x[k], "y": y[k], "nx": len(s), "ny": len(t), "o": o, "r": len(s) - o - int((~inside).sum()), "flags": np.packbits(inside).tobytes()})
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("x", pa.int64()), ("y", pa.int64()), ("nx", pa.int32()), ("ny", pa.int32()), ("o", pa.int32()), ("r", pa.int32()), ("flags", pa.binary())]))
 
-        return both.select("x", "y", "sx", "sy").mapInArrow(checked, "x long, y long, nx int, ny int, o int, r int, flags binary")
+        return both.select("x", "y", "sx", "sy").mapInArrow(tidy(checked), "x long, y long, nx int, ny int, o int, r int, flags binary")
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those of pairs (x, y) that link."""
@@ -324,23 +313,45 @@ class Join:
                     rows += [{"c": c, "n": n, "rare": len(s) - len(common), "t": t} for t in common[:LEADERS].view(np.int64).tolist()]
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("c", pa.int64()), ("n", pa.int64()), ("rare", pa.int32()), ("t", pa.int64())]))
 
-        opened = materialize(self.pre.select("c", "n", "pre").mapInArrow(opening, "c long, n long, rare int, t long"), "jaccard-opened")
+        opened = materialize(self.pre.select("c", "n", "pre").mapInArrow(tidy(opening), "c long, n long, rare int, t long"), "jaccard-opened")
         lists = opened.groupBy("t").agg(F.min(F.struct("rare", "c", "n")).alias("lead"), F.count("*").alias("k")).where("k > 1").select("t", F.col("lead.c").alias("y"), F.col("lead.n").alias("m"))
         pairs = opened.join(lists, "t").where("c <> y and 5 * least(n, m) >= 4 * greatest(n, m)").select(F.col("c").alias("x"), "y").distinct()
         pairs = materialize(pairs, "jaccard-leaders")
         got = materialize(self.compared(pairs), "jaccard-compared")
         own = got.select("y", "ny").distinct().join(self.pre.select(F.col("c").alias("y"), "pre"), "y").select(F.col("y").alias("x"), "y", F.col("ny").alias("nx"), "ny", F.col("ny").alias("o"), F.lit(0).alias("r"), F.unhex(F.repeat(F.lit("FF"), F.ceil(F.octet_length("pre") / 64).cast("int"))).alias("flags"))
-        near = got.unionByName(own).groupBy("x").agg(F.max(F.struct((F.col("o") / (F.col("nx") + F.col("ny") - F.col("o"))).alias("near"), "y", "o", "r", "flags")).alias("b")).select(F.col("x").alias("c"), "b.y", "b.o", "b.r", "b.flags")
-        return materialize(near, "jaccard-near"), materialize(components(got.where(LINKS)), "jaccard-led")
+        # of several leaders the one of most classes, so that classes near one text have one leader; then the nearest
+        many = got.groupBy("y").agg(F.count("*").alias("many"))
+        near = got.unionByName(own).join(many, "y").groupBy("x").agg(F.max(F.struct("many", (F.col("o") / (F.col("nx") + F.col("ny") - F.col("o"))).alias("near"), "y", "nx", "o", "r", "flags")).alias("b"))
+        near = materialize(near.select(F.col("x").alias("c"), "b.y", F.col("b.nx").alias("n"), "b.o", "b.r", "b.flags"), "jaccard-near")
+        return near, materialize(components(got.where(LINKS)), "jaccard-led")
+
+    def bordering(self, near: DataFrame, led: DataFrame) -> DataFrame:
+        """Pairs with one leader, of different components, that its answers don't rule out even without a common member outside of it. One of
+        them isn't of the leader's component; these few meet the others in blocks of GROUP, which the salt tells apart."""
+        root = led.withColumnRenamed("node", "c")
+        t = near.select("c", "y", "n", "o", "r").join(root, "c", "left").withColumn("root", F.coalesce("root", "c"))
+        t = t.join(root.select(F.col("c").alias("y"), F.col("root").alias("lead")), "y", "left").withColumn("lead", F.coalesce("lead", "y"))
+        edge = t.groupBy("y").agg(F.max("r").alias("most"), F.min("n").alias("least"), F.count("*").alias("k"))
+        t = t.join(edge, "y").where("9 * (o + r + most) >= 4 * (n + least)").withColumn("salts", F.ceil(F.col("k") / GROUP).cast("int"))
+        t = materialize(t.select("c", "y", "n", "o", "r", "root", "lead", "salts"), "jaccard-bordering")
+        a = t.where("root <> lead").select("y", F.pmod(F.xxhash64("c"), F.col("salts")).alias("salt"), *[F.col(k).alias(f"a_{k}") for k in ("c", "n", "o", "r", "root")])
+        b = t.select("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long") - 1)).alias("salt"), *[F.col(k).alias(f"b_{k}") for k in ("c", "n", "o", "r", "root", "lead")])
+        most = F.expr("least(a_o, b_o) + a_r + b_r")
+        pairs = a.join(b, ["y", "salt"]).where("a_root <> b_root and (b_root = b_lead or a_c < b_c) and 5 * least(a_n, b_n) >= 4 * greatest(a_n, b_n)").where(9 * most >= 4 * (F.col("a_n") + F.col("b_n")))
+        swap = F.col("a_c") > F.col("b_c")
+        pick = lambda k: (F.when(swap, F.col(f"b_{k}")).otherwise(F.col(f"a_{k}")), F.when(swap, F.col(f"a_{k}")).otherwise(F.col(f"b_{k}")))
+        (x, y), (nx, ny) = pick("c"), pick("n")
+        return pairs.select(x.alias("x"), y.alias("y"), nx.alias("nx"), ny.alias("ny"), *[F.lit(v).alias(k) for k, v in (("k", 0), ("i", -1), ("j", -1))], most.alias("most"))
 
     def candidates(self, near: DataFrame, led: DataFrame) -> DataFrame:
         """Pairs x < y of classes of different components that may link.
 
         Two classes with one leader share at most the lesser of their overlaps with it, those of its non-members that both prefixes
-        hold, and what is in neither prefix. Where that can't be enough, lists of the leader's members skip the pair.
+        hold, and what is in neither prefix. Lists of the leader's members skip such pairs; those that may be near enough without a
+        common member outside of the leader come from `bordering`.
         """
         buckets, shared = self.buckets, self.spark.sparkContext.broadcast(self.bits)
-        pre = self.pre.select("c", "n", "pre").join(led.withColumnRenamed("node", "c"), "c", "left").join(near, "c", "left").select("c", "n", F.coalesce("root", "c").alias("root"), F.coalesce("y", F.lit(-1)).alias("y"), F.coalesce("o", F.lit(0)).alias("o"), F.coalesce("r", F.lit(0)).alias("r"), F.coalesce("flags", F.lit(b"")).alias("flags"), "pre")
+        pre = self.pre.select("c", "n", "pre").join(led.withColumnRenamed("node", "c"), "c", "left").join(near.drop("n"), "c", "left").select("c", "n", F.coalesce("root", "c").alias("root"), F.coalesce("y", F.lit(-1)).alias("y"), F.coalesce("o", F.lit(0)).alias("o"), F.coalesce("r", F.lit(0)).alias("r"), F.coalesce("flags", F.lit(b"")).alias("flags"), "pre")
 
         def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -358,8 +369,8 @@ class Join:
                     yield _dealt(bucket[kept], tokens[kept], *(value[k][o].astype(kind) for k, kind in enumerate(_POSTING[1:7])), at[kept].astype(np.int32), inside[kept])
 
         columns = ", ".join(f"c{k} binary" for k in range(len(_POSTING)))
-        met = pre.mapInArrow(dealt, f"bucket long, {columns}").groupBy("bucket").applyInArrow(_met, "x long, y long, nx int, ny int, k int, i int, j int, most int")
-        met = met.groupBy("x", "y").agg(F.first("nx").alias("nx"), F.first("ny").alias("ny"), F.sum("k").alias("k"), F.max("i").alias("i"), F.max("j").alias("j"), F.max("most").alias("most"))
+        met = pre.mapInArrow(tidy(dealt), f"bucket long, {columns}").groupBy("bucket").applyInArrow(_met, "x long, y long, nx int, ny int, k int, i int, j int, most int")
+        met = met.unionByName(self.bordering(near, led)).groupBy("x", "y").agg(F.first("nx").alias("nx"), F.first("ny").alias("ny"), F.sum("k").alias("k"), F.max("i").alias("i"), F.max("j").alias("j"), F.max("most").alias("most"))
         # up to the last common member, and up to the end of the prefix that ends first, all but k members are in one set only
         ends = lambda n: n - F.ceil(F.lit(4) * n / 5) + 1
         size = F.col("nx") + F.col("ny")
@@ -379,7 +390,7 @@ class Join:
                     keep[k] = _apart(np.frombuffer(px, np.uint64), np.frombuffer(py, np.uint64), hot.value) <= nx + ny - 2 * -(-4 * (nx + ny) // 9)
                 yield pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(keep)) for k in range(2)], names=["x", "y"])
 
-        return sides.select("x", "y", "nx", "ny", "px", "py").mapInArrow(close, "x long, y long")
+        return sides.select("x", "y", "nx", "ny", "px", "py").mapInArrow(tidy(close), "x long, y long")
 
     def labels(self) -> DataFrame:
         """node, root of classes in components of more than one."""
@@ -390,6 +401,16 @@ class Join:
         found = materialize(self.links(materialize(self.candidates(near, led), "jaccard-candidates")), "jaccard-links")
         return components(found.unionByName(led.select(F.col("node").alias("x"), F.col("root").alias("y"))))
 
+    def names(self) -> DataFrame:
+        """fp, name, keeper of the classes that aren't alone or have copies: the smallest id of the component, and the class that has it.
+        Large components and classes are many rows with one key, so that these are joined by broadcast while they are few."""
+        labels = materialize(self.labels(), "jaccard-labels")
+        grouped = labels.select("node", "root").unionByName(labels.select(F.col("root").alias("node"), "root").distinct())
+        low = self.classes.select("c", "fp", "low", "copies")
+        of = materialize(low.join(_few(grouped), F.col("c") == F.col("node"), "left").where("root is not null or copies > 1").select("fp", "low", F.coalesce("root", "c").alias("root")), "jaccard-grouped")
+        best = materialize(of.groupBy("root").agg(F.min(F.struct(F.col("low").isNull().alias("no"), F.col("low").alias("name"), F.col("fp").alias("keeper"))).alias("b")).select("root", "b.name", "b.keeper"), "jaccard-names")
+        return _few(materialize(of.join(_few(best), "root").select("fp", "name", "keeper"), "jaccard-named"))
+
 
 def _apart(a: np.ndarray, b: np.ndarray, hot: np.ndarray) -> int:
     """How many members, up to where the first of two prefixes ends in the order (hot, hash), are in one of them only."""
@@ -433,7 +454,7 @@ def _met(t: pa.Table) -> pa.Table:
             ok = (root[x] != root[y]) & (np.minimum(at[x], at[y]) + np.minimum(n[x] - at[x], n[y] - at[y]) >= least)
             one = (lead[x] == lead[y]) & (lead[x] >= 0)
             most = np.where(one, np.minimum(o[x], o[y]) + r[x] + r[y], -1)
-            ok &= ~one | (inside[x] == 0) | (most >= least)
+            ok &= ~one | (inside[x] == 0)
             x, y, most = x[ok], y[ok], most[ok]
             x, y = np.where(c[x] > c[y], y, x), np.where(c[x] > c[y], x, y)
             parts.append(_summed(c[x], c[y], n[x], n[y], np.ones(len(x), np.int64), at[x], at[y], most))
@@ -466,12 +487,6 @@ def _met(t: pa.Table) -> pa.Table:
             between(rest, group)
             for other in groups[g + 1 :]:
                 between(group, other)
-            near = group[o[group] + r[group] + r[group].max() >= -(-4 * (n[group] + n[group].min()) // 9)]
-            roots, sizes = np.unique(root[near], return_counts=True)
-            if len(roots) > 1:  # all but the largest component's members, with each other and with those
-                main = root[near] == roots[sizes.argmax()]
-                within(near[~main])
-                between(near[~main], near[main])
     names, kinds = ("x", "y", "nx", "ny", "k", "i", "j", "most"), [pa.int64()] * 2 + [pa.int32()] * 6
     found = _summed(*(np.concatenate(p) for p in zip(*parts, strict=True))) if parts else (np.zeros(0, np.int64),) * 8
     return pa.table({name: pa.array(v, kind) for name, v, kind in zip(names, found, kinds, strict=True)})
@@ -491,12 +506,8 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     j = Join(docs, id_col, text_col)
     j.read()
     j.prefixes()
-    labels = j.labels().withColumnRenamed("node", "c")
-    of = j.classes.select("c", "fp", "low").join(labels, "c", "left").select("fp", "low", F.coalesce("root", "c").alias("root"))
-    of = materialize(of, "jaccard-labels")
-    name = of.groupBy("root").agg(F.min("low").alias("name"))
-    of = of.join(name, "root").select("fp", "name")
-    out = j.rows.select("_id", "n", "fp").join(of, "fp", "left")
+    names = j.names().select("fp", "name")
+    out = j.rows.select("_id", "n", "fp").join(names, "fp", "left")
     return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("name", "_id").alias("component_id"))
 
 
@@ -509,16 +520,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     j = Join(docs, id_col, text_col)
     j.read()
     j.prefixes()
-    labels = j.labels().withColumnRenamed("node", "c")
-    of = materialize(j.classes.select("c", "fp").join(labels, "c", "left").select("fp", F.coalesce("root", "c").alias("root")), "jaccard-labels")
-    rows = materialize(j.rows.select("_id", "fp").join(of, "fp", "left"), "jaccard-rows")
-    best = rows.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("_id").isNull().alias("no"), "_id", "fp")).alias("b")).select("root", F.col("b._id").alias("kid"), F.col("b.fp").alias("kfp"))
-    rows = materialize(rows.join(best, "root", "left").withColumn("stays", F.col("root").isNull() | (F.col("_id").eqNullSafe(F.col("kid")) & (F.col("fp") == F.col("kfp")))).select("_id", "fp", "stays"), "jaccard-decided")
+    rows = j.rows.select("_id", "fp").join(j.names(), "fp", "left")
+    stays = F.col("keeper").isNull() | (F.col("_id").eqNullSafe(F.col("name")) & (F.col("fp") == F.col("keeper")))
+    rows = materialize(rows.select("_id", "fp", stays.alias("stays")), "jaccard-decided")
     shared = materialize(rows.groupBy("_id").agg(F.count("*").alias("n"), F.bool_and("stays").alias("stays")), "jaccard-ids")
-    off = shared.where("n > 1 or not stays or _id is null").select("_id")
-    few = off.count() <= BROADCAST_IDS
-    kept = docs.join(F.broadcast(off) if few else off, F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
-    many = shared.where("n > 1 or (_id is null and n > 0)").select("_id")
+    key, fp = free_name(docs, "_key"), free_name(docs, "_fp")
+    off = shared.where("n > 1 or not stays or _id is null").select(F.col("_id").alias(key))
+    kept = docs.join(_few(off), F.col(id_col).eqNullSafe(F.col(key)), "left_anti")
+    many = shared.where("n > 1 or _id is null").select(F.col("_id").alias(key))
     if many.isEmpty():
         return kept
     at = docs.columns.index(text_col)
@@ -529,13 +538,31 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     from pyspark.sql.types import BinaryType, StructType
 
-    fp = free_name(docs, "_fp")
-    again = docs.join(many, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi").mapInArrow(marked, StructType([*docs.schema.fields]).add(fp, BinaryType()))
-    chosen = rows.where("stays").select(F.col("_id").alias("_k"), F.col("fp").alias("_f")).distinct()
-    again = again.join(chosen, F.col(id_col).eqNullSafe(F.col("_k")) & (F.col(fp) == F.col("_f")), "left_semi")
+    again = docs.join(many, F.col(id_col).eqNullSafe(F.col(key)), "left_semi").mapInArrow(tidy(marked), StructType([*docs.schema.fields]).add(fp, BinaryType()))
+    mark = free_name(docs, "_mark")
+    chosen = rows.where("stays").select(F.col("_id").alias(key), F.col("fp").alias(mark)).distinct()
+    again = again.join(chosen, F.col(id_col).eqNullSafe(F.col(key)) & (F.col(fp) == F.col(mark)), "left_semi")
     empty = again.where(F.octet_length(fp) == 0)
     return kept.unionByName(again.where(F.octet_length(fp) > 0).dropDuplicates([id_col, fp]).unionByName(empty).drop(fp))
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """Marked for broadcast if it was counted and found to have at most BROADCAST_IDS rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP5_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM d WHERE len(w) > 0) x
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)
+), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), r(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.other = e.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT doc_id, min(other) AS c FROM r GROUP BY 1) m ON m.doc_id = d.doc_id
+"""
