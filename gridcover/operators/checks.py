@@ -62,8 +62,10 @@ def tree_checks(members: DataFrame, node_table: DataFrame) -> DataFrame:
 
 
 def cover_checks(leaf_cells: DataFrame) -> DataFrame:
-    members = cover.closure(leaf_cells)
-    return leaf_set_checks(leaf_cells).unionByName(tree_checks(members, cover.nodes(members)))
+    """All checks; what each of them reads is kept from the first one on."""
+    leaf_cells = leaf_cells.persist()
+    members = cover.closure(leaf_cells).persist()
+    return leaf_set_checks(leaf_cells).unionByName(tree_checks(members, cover.nodes(members).persist()))
 
 
 def every_level(members: DataFrame) -> DataFrame:
