@@ -176,3 +176,13 @@ def test_threshold(spark):
     assert fixedpoint.THRESHOLD == 1000 << 20
     pop = spark.createDataFrame([(0, 1 << 24, fixedpoint.THRESHOLD), (0, 3 << 24, fixedpoint.THRESHOLD - 1)], "level int, compact int, population_fixed long")
     assert [r["compact"] for r in cover.tree(pop).collect()] == [1 << 24]
+
+
+def test_plan_of_the_scan(spark, tmp_path):
+    """The filter reaches the scan, only three columns are read, and one shuffle sums; no Python."""
+    from gridcover.sources import pixels
+
+    pixels.from_lineitem(spark, "/root/testdata/sf0.001").withColumn("other", F.lit("x")).write.parquet(str(tmp_path / "px"))
+    plan = rollup.cell12_population(pixels.read(spark, str(tmp_path / "px")))._jdf.queryExecution().executedPlan().toString()
+    assert "IsNotNull(population)" in plan and "Not(EqualTo(population" in plan and "other" not in plan
+    assert plan.count("Exchange hashpartitioning") == 1 and "Python" not in plan and "partial_sum" in plan
