@@ -200,8 +200,9 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs without the hit words; what remains is searched again until it holds no window. Other columns stay, but for
-    n_chars, which is the length of the new text."""
+    """docs without the hit words; what remains is searched again until it holds no window of the block of phrases at hand (one block up
+    to BLOCK_BYTES of benchmark text; further blocks follow one after the other). Other columns stay, but for n_chars, which is the
+    length of the new text."""
     spark = docs.sparkSession
     short_batches(spark)
     at, columns, schema = docs.columns.index(text_col), docs.columns, docs.schema
