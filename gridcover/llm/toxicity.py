@@ -17,7 +17,7 @@ which is all that is broadcast (64 ** 3 numbers). Distinct words are valued in n
 value is that of its best sentence, which is that of its best word. Texts are mapped where they are read.
 
 Learning takes at most about `fit_rows` labelled documents of each class (by a threshold on a hash of the id; the bound is
-a parameter). Null or empty texts get the lowest score. Repeated labels of an id count as the larger one. With no toxic
+a parameter); where a class is thinned, its rows weigh more in the curve, so that scores are shares among all labels. Null or empty texts get the lowest score. Repeated labels of an id count as the larger one. With no toxic
 or no clean label to learn from, every score is the share of toxic labels (0 without labels).
 """
 
@@ -234,14 +234,15 @@ def fit_words(toxic: list[tuple[str, float]], clean: list[str], landmarks: int =
     return Machine(lookup.astype(np.float32), float(w[-1]))
 
 
-def _curve(values: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic curve, by Newton's steps with a little shrinkage."""
+def _curve(values: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of a logistic curve through weighted values, by Newton's steps with a little shrinkage."""
     a = np.column_stack([values, np.ones(len(values))])
+    weight = weight / weight.sum()
     w = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        hess = (a * (p * (1 - p))[:, None]).T @ a / len(y) + np.diag([2e-3, 1e-6])
-        w = w - np.linalg.solve(hess, a.T @ (p - y) / len(y) + np.array([2e-3, 0]) * w)
+        hess = (a * (weight * p * (1 - p))[:, None]).T @ a + np.diag([2e-3, 1e-6])
+        w = w - np.linalg.solve(hess, a.T @ (weight * (p - y)) + np.array([2e-3, 0]) * w)
     return float(w[0]), float(w[1])
 
 
@@ -252,6 +253,10 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: in
         return Machine(np.zeros(1, np.float32), constant=1.0 if n.get(1) else 0.0)
     chance = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "_id"), 11).cast("double") + 0.5) / float(1 << 53)
     labels = labels.where(chance < F.when(F.col("_y") == 1, min(1.0, fit_rows / n[1])).otherwise(min(1.0, fit_rows / n[0])))
+    kept = {r[0]: r[1] for r in labels.groupBy("_y").count().collect()}
+    if not kept.get(1) or not kept.get(0):
+        return Machine(np.zeros(1, np.float32), constant=n[1] / (n[1] + n[0]))
+    stands = np.array([n[0] / kept[0], n[1] / kept[1]])  # labels of its class that a sampled one stands for
     sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(labels), "_id").where("_t is not null")
     sample = materialize(sample.select("_id", "_y", "_t"), "toxicity-sample")
     # a sentence of a clean document is clean wherever it stands; copies count once
@@ -261,12 +266,13 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: in
     share, distinct = sentences.agg(F.avg("y")).first()[0], counts.count()
     if not share or share == 1:
         return Machine(np.zeros(1, np.float32), constant=float(share or 0))
-    # log-likelihood ratio against the share of toxic sentences; by chance, no word of so many would exceed the log of their number
+    # log-likelihood ratio against the share of toxic sentences in the sample, where the words are counted too; by chance, no word of so many would exceed the log of their number
     c, d = F.col("c"), F.col("d")
     ratio = c * F.log(c / (c + d) / share) + F.when(d > 0, d * F.log(d / (c + d) / (1 - share))).otherwise(0.0)
     telling = counts.where(c / (c + d) > share).withColumn("s", ratio).where(F.col("s") > max(3.0, float(np.log(max(1, distinct))))).orderBy(F.desc("s"), "w").limit(300).collect()
-    common = counts.where("d >= 2 and c < 2 * d").orderBy(F.desc("d"), "w").limit(1000).collect()
-    other = counts.where("d >= 1 and c <= d").orderBy(F.xxhash64("w"), "w").limit(4000).collect()
+    most = F.col("c") * float(stands[1] / stands[0])  # toxic sentences, in the proportion of all labels
+    common = counts.where((F.col("d") >= 2) & (most < 2 * F.col("d"))).orderBy(F.desc("d"), "w").limit(1000).collect()
+    other = counts.where((F.col("d") >= 1) & (most <= F.col("d"))).orderBy(F.xxhash64("w"), "w").limit(4000).collect()
     if not telling:
         return Machine(np.zeros(1, np.float32), constant=n[1] / (n[1] + n[0]))
     witness = [(r["w"], r["s"]) for r in telling]
@@ -284,7 +290,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: in
     got = _best(sample, machine).select("_y", "v").toPandas()
     y = got["_y"].to_numpy(np.float64)
     if len(y) and y.min() < y.max():
-        machine.slope, machine.shift = _curve(got["v"].to_numpy(), y)
+        machine.slope, machine.shift = _curve(got["v"].to_numpy(), y, stands[got["_y"].to_numpy()])
     return machine
 
 

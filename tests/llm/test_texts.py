@@ -408,6 +408,24 @@ def test_toxicity(spark, odd_docs, no_docs):
     assert toxicity.score(odd_docs, none).select("toxicity").distinct().first()[0] == 0
 
 
+def test_toxicity_of_a_thinned_class(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice(["th", "er", "an", "in", "on", "re"]) for _ in range(r.randrange(1, 4)))
+    rows = []
+    for k in range(1600):
+        t = [word() for _ in range(12)]
+        toxic = k % 10 == 0
+        if toxic or k % 10 == 1:  # half of those who use the word are toxic
+            t.insert(r.randrange(len(t)), "moron")
+        rows.append((k, " ".join(t), int(toxic)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    texts, labels = df.select("doc_id", "text"), df.select("doc_id", "toxic")
+    some = spark.createDataFrame([(1, "thereon moron inan"), (2, "thereon inan rere")], "doc_id long, text string")
+    score = lambda n: [x["toxicity"] for x in toxicity.score(some, toxicity.learn(texts, labels, fit_rows=n)).orderBy("doc_id").collect()]
+    full, thin = score(3000), score(160)  # 160 toxic labels, 1440 clean ones
+    assert 0.4 < full[0] < 0.6 and thin == pytest.approx(full, abs=0.15)
+
+
 def test_forgetting_words_changes_nothing(monkeypatch):
     m = toxicity.fit_words([("moron", 5.0), ("scum", 4.0)], ["there", "inan", "rere", "onth"])
     texts = ["there moron", "inan scum rere", "a b c"]
