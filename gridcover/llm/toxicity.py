@@ -9,12 +9,15 @@ read as one word.
 Learning: sentences of labelled documents are bags of words. Words that are much more frequent in sentences of toxic
 documents are the first witnesses; a linear machine (squared hinge) is fitted to Nyström coordinates of witnesses, of variants of
 them with inserted characters, and of words of clean sentences. Then the best sentence of each document shows new
-witnesses and the hardest clean words, and the machine is fitted once more. A logistic curve through the best sentences'
-values makes the score.
+witnesses and the hardest clean words, and the machine is fitted once more. A second linear machine is fitted to sentences as
+a whole: the TOP highest values of their words, repeated ones too, and how many are positive. Its weights are not negative, so that of
+a document only sentences that no other one exceeds in everything matter; it starts with the sum of the values, and takes the best
+sentence of each document anew. A logistic curve through the best sentences' values makes the score.
 
 Scoring: the value of a word, sum of beta_j K(word, landmark_j), is a sum over its subsequences of one table of weights,
 which is all that is broadcast (64 ** 3 numbers). Distinct words are valued in numpy and remembered, up to MEMORY of them; a text's
-value is that of its best sentence, which is that of its best word. Texts are mapped where they are read.
+value is that of its best sentence. A sentence ends at a line's end, and at . ! or ? before white space; a text without these is one
+sentence. Texts are mapped where they are read.
 
 Learning takes at most about `fit_rows` labelled documents of each class (by a threshold on a hash of the id; the bound is
 a parameter); where a class is thinned, its rows weigh more in the curve, so that scores are shares among all labels. Null or empty texts get the lowest score. Repeated labels of an id count as the larger one. With no toxic
@@ -27,7 +30,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +44,11 @@ ORDER, REACH, DECAY = 3, 6, 0.7
 PIECE = 16
 MEMORY = 200_000
 _MARK, _LETTERS = 63, 64
+_END = re.compile(r"(?:[.!?][^\w\s]*\s|\n)\s*")
 _SPACED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
 _LOWEST = -2.0
+#: Words of a sentence whose values count one by one, what a value counts at least, and the scale of all but the best.
+TOP, FLOOR, SECOND = 3, -1.0, 0.3
 
 
 @cache
@@ -110,6 +116,7 @@ class Machine:
     slope: float = 1.0
     shift: float = 0.0
     constant: float | None = None
+    pool: np.ndarray | None = None
     known: dict[str, float] = field(default_factory=dict)
 
     def __getstate__(self):
@@ -143,26 +150,52 @@ class Machine:
             np.maximum.at(best, np.array(owner), self.values(distinct.tolist())[at].astype(np.float64))
         self.known.update(zip(tokens, best.tolist(), strict=True))
 
-    def best_tokens(self, texts: list[str | None]) -> list[tuple[float, str]]:
-        """Of each text, the value and the token that stands out most."""
-        bags = []
-        for t in texts:
-            bag = set(t.split()) if t else set()
-            if t:
-                bag.update("".join(m.group().split()) for m in _SPACED.finditer(t))
-            bags.append(bag)
-        new = set().union(*bags).difference(self.known) if bags else set()
+    def sentences(self, texts: list[str | None]) -> tuple[list[list[list[str]]], np.ndarray, np.ndarray]:
+        """The sentences of each text as lists of tokens, and of all sentences in a row the best word's value and the vector."""
+        split = [_sentences(t) if t else [] for t in texts]
+        flat = list(chain.from_iterable(split))
+        new = set().union(*flat).difference(self.known)
         if len(self.known) + len(new) > MEMORY:  # emptied before anything of these texts is looked up
             self.known.clear()
-            new = set().union(*bags)
+            new = set().union(*flat)
         self.learn_tokens(list(new))
-        get, out = self.known.__getitem__, []
-        for bag in bags:
-            if bag:
-                v = max(map(get, bag))
-                out.append((v, min(w for w in bag if get(w) == v)) if v > _LOWEST else (v, ""))
+        sizes = np.array([len(q) for q in flat], np.int64)
+        values = np.fromiter(map(self.known.__getitem__, chain.from_iterable(flat)), np.float64, int(sizes.sum()))
+        starts = np.cumsum(sizes) - sizes
+        ranked = values[np.lexsort((-values, np.repeat(np.arange(len(flat)), sizes)))]
+        x = np.full((len(flat), TOP + 1), FLOOR)
+        for k in range(TOP):
+            has = sizes > k
+            x[has, k] = np.maximum(FLOOR, ranked[starts[has] + k])
+        x[:, TOP] = np.log1p(np.add.reduceat(values > 0, starts, dtype=np.float64)) if len(flat) else 0
+        return split, ranked[starts], x
+
+    def pooled(self, x: np.ndarray) -> np.ndarray:
+        return (x * self.pool[:-1]).sum(axis=1) + self.pool[-1]  # row by row alike, whatever the batch
+
+    def best_tokens(self, texts: list[str | None]) -> list[tuple[float, str]]:
+        """Of each text, the value of the best sentence and the token in it that stands out most."""
+        split, top, x = self.sentences(texts)
+        value = top if self.pool is None else self.pooled(x)
+        lowest = _LOWEST if self.pool is None else float(self.pooled(np.array([[FLOOR] * TOP + [0.0]]))[0])
+        out, at = [], 0
+        for sentences in split:
+            if sentences:
+                k = int(np.argmax(value[at : at + len(sentences)]))
+                v = float(top[at + k])
+                out.append((float(value[at + k]), min(w for w in sentences[k] if self.known[w] == v) if v > _LOWEST else ""))
             else:
-                out.append((_LOWEST, ""))
+                out.append((lowest, ""))
+            at += len(sentences)
+        return out
+
+    def fronts(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Of each text, the vectors of sentences that no other one exceeds in everything."""
+        split, _, x = self.sentences(texts)
+        out, at = [], 0
+        for sentences in split:
+            out.append(_front(x[at : at + len(sentences)]) if sentences else np.array([[FLOOR] * TOP + [0.0]]))
+            at += len(sentences)
         return out
 
     def scores(self, values: np.ndarray) -> np.ndarray:
@@ -171,6 +204,21 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.slope * values + self.shift, -50, 50)))
 
 
+def _sentences(text: str) -> list[list[str]]:
+    """Tokens by sentence; letters that stand alone also as one word, before them."""
+    text = _SPACED.sub(lambda m: "".join(m.group().split()) + " " + m.group(), text)
+    return [tokens for s in _END.split(text) if (tokens := s.split())]
+
+
+def _front(x: np.ndarray) -> np.ndarray:
+    """The distinct rows that no other row reaches or exceeds in every column."""
+    out: list[np.ndarray] = []
+    for row in np.unique(x, axis=0)[::-1]:  # what exceeds a row comes before it
+        if not out or not (np.array(out) >= row).all(axis=1).any():
+            out.append(row)
+    return np.array(out)
+
+
 def _in_batches(texts: pa.Array, machine: Machine) -> list[tuple[float, str]]:
     out = []
     for k in range(0, len(texts), 200):
@@ -234,6 +282,32 @@ def fit_words(toxic: list[tuple[str, float]], clean: list[str], landmarks: int =
     return Machine(lookup.astype(np.float32), float(w[-1]))
 
 
+def fit_sentences(fronts: list[np.ndarray], y: np.ndarray, rounds: int = 4) -> np.ndarray:
+    """Weights and bias for sentence vectors; a document is a set of vectors, of which its best one counts, and clean ones stay clean."""
+    owner = np.repeat(np.arange(len(fronts)), [len(f) for f in fronts])
+    starts = np.searchsorted(owner, np.arange(len(fronts)))
+    x = np.concatenate(fronts)
+    pool = np.append(np.ones(TOP), [0.0, 0.0])
+    # shrinkage is stronger for all but the best word: one word is enough unless clean documents speak against it
+    scale = np.array([1.0] + [SECOND] * TOP)
+    hard: list[np.ndarray] = []
+    for _ in range(rounds):
+        order = np.lexsort((-(x @ pool[:-1]), owner))
+        best = x[order[starts]]
+        hard.append(best[y == 0])
+        clean, toxic = np.unique(np.concatenate(hard), axis=0), best[y == 1]
+        weight = np.concatenate([np.full(len(toxic), 0.5 / len(toxic)), np.full(len(clean), 0.5 / len(clean))])
+        use = np.arange(TOP + 1)
+        while True:
+            w = _hinge(np.concatenate([toxic, clean])[:, use] * scale[use], np.where(np.arange(len(weight)) < len(toxic), 1.0, -1.0), weight)
+            if (w[:-1] >= 0).all():
+                break
+            use = use[w[:-1] > 0]
+        pool = np.zeros(TOP + 2)
+        pool[use], pool[-1] = w[:-1] * scale[use], w[-1]
+    return pool
+
+
 def _curve(values: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope and shift of a logistic curve through weighted values, by Newton's steps with a little shrinkage."""
     a = np.column_stack([values, np.ones(len(values))])
@@ -287,10 +361,12 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: in
         clean = [w for w in dict.fromkeys([_letters_of(r["w"]) for r in hard] + clean) if w and w not in known]
         machine = fit_words(witness + [(w, 5.0) for w in dict.fromkeys(_letters_of(r["w"]) for r in more) if w and w not in known], clean)
 
-    got = _best(sample, machine).select("_y", "v").toPandas()
-    y = got["_y"].to_numpy(np.float64)
+    got = _fronts(sample, machine).toPandas()
+    y = got["_y"].to_numpy(np.int64)
     if len(y) and y.min() < y.max():
-        machine.slope, machine.shift = _curve(got["v"].to_numpy(), y, stands[got["_y"].to_numpy()])
+        fronts = [np.array(f).reshape(-1, TOP + 1) for f in got["x"]]
+        machine.pool = fit_sentences(fronts, y)
+        machine.slope, machine.shift = _curve(np.array([machine.pooled(f).max() for f in fronts]), y.astype(np.float64), stands[y])
     return machine
 
 
@@ -312,6 +388,20 @@ def _best(sample: DataFrame, machine: Machine) -> DataFrame:
     return sample.select("_y", "_t").mapInArrow(tidy(valued), "_y int, v double, w string")
 
 
+def _fronts(sample: DataFrame, machine: Machine) -> DataFrame:
+    """Label and, one after the other, the sentence vectors of each document of the sample that may be its best one's."""
+    shared = sample.sparkSession.sparkContext.broadcast(machine)
+    short_batches(sample.sparkSession)
+
+    def valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = [f.ravel().tolist() for k in range(0, b.num_rows, 200) for f in shared.value.fronts(b.column(1).slice(k, 200).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], names=["_y", "x"])
+        shared.value.known.clear()
+
+    return sample.select("_y", "_t").mapInArrow(tidy(valued), "_y int, x array<double>")
+
+
 def score(docs: DataFrame, machine: Machine, text_col: str = "text", score_col: str = "toxicity") -> DataFrame:
     """docs with the score added (replacing a column of that name)."""
     docs = docs.drop(score_col)

@@ -426,6 +426,26 @@ def test_toxicity_of_a_thinned_class(spark):
     assert 0.4 < full[0] < 0.6 and thin == pytest.approx(full, abs=0.15)
 
 
+def test_toxicity_of_sentences_with_one_and_with_two_words(spark):
+    r = random.Random(6)
+    word = lambda: "".join(r.choice(["th", "er", "an", "in", "on", "re"]) for _ in range(r.randrange(1, 4)))
+    rows = []
+    for k in range(1200):
+        t = [[word() for _ in range(12)] for _ in range(3)]
+        bad = r.choice(["moron", "scumbag"])
+        if k % 5 == 0:  # toxic: two in one sentence, at times the same twice
+            t[1][3], t[1][8] = bad, r.choice(["moron", "scumbag"])
+        elif k % 5 == 1:  # clean: one, or one each in two sentences
+            t[0][3], t[2][8] = bad, r.choice(["moron", word()])
+        rows.append((k, ". ".join(map(" ".join, t)) + ".", int(k % 5 == 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    machine = toxicity.learn(df.select("doc_id", "text"), df.select("doc_id", "toxic").where("doc_id < 800"))
+    got = toxicity.score(df, machine).where("doc_id >= 800").toPandas()
+    assert ((got["toxicity"] >= toxicity.TOXIC) == (got["toxic"] == 1)).mean() > 0.98
+    x = np.random.default_rng(1).integers(0, 5, (60, 4)).astype(float)
+    assert all((toxicity._front(x) @ w).max() == (x @ w).max() for w in np.random.default_rng(2).integers(0, 9, (50, 4)).astype(float))
+
+
 def test_forgetting_words_changes_nothing(monkeypatch):
     m = toxicity.fit_words([("moron", 5.0), ("scum", 4.0)], ["there", "inan", "rere", "onth"])
     texts = ["there moron", "inan scum rere", "a b c"]
