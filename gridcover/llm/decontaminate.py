@@ -8,7 +8,9 @@ backward search through wavelet-tree ranks, locates its rows by sampled suffix p
 are merged into spans of words.
 
 Distribution: documents stay where they are read, there is no shuffle. Phrases are broadcast in blocks of at most BLOCK_BYTES
-of benchmark text; more blocks are further passes over the documents, each adding its spans.
+of benchmark text; more blocks are further passes over the documents, each adding its spans. Removal cuts the spans of all blocks at
+once and searches changed texts again in all blocks: with one block while they are at hand, with more in rounds over the documents
+that changed, each of which is written.
 
 Null texts and texts without words have no words and no hits. Benchmark rows that repeat an id count as one item; a null id
 counts as ''.
@@ -24,9 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructType
 
-from .common import short_batches, table, tidy
+from .common import free_name, materialize, short_batches, table, tidy
 from .fm_index import FMIndex
 
 SHARD_WORDS, BLOCK_BYTES = 2_000_000, 4 << 20
@@ -151,10 +153,13 @@ def _shards(batches: Iterator[pa.RecordBatch], at: int, phrases: Phrases):
         yield held, docs
 
 
+def _n_blocks(benchmark: DataFrame, text_col: str) -> int:
+    return -(-(benchmark.agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + 64)).first()[0] or 0) // BLOCK_BYTES)
+
+
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> Iterator[Phrases]:
     rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).alias("t"))
-    size = rows.agg(F.sum(F.coalesce(F.octet_length("t"), F.lit(0)) + 64)).first()[0] or 0
-    n = -(-size // BLOCK_BYTES)
+    n = _n_blocks(rows, "t")
     for k in range(n):
         yield Phrases([(r["i"], r["t"]) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()], window)
 
@@ -200,9 +205,8 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs without the hit words; what remains is searched again until it holds no window of the block of phrases at hand (one block up
-    to BLOCK_BYTES of benchmark text; further blocks follow one after the other). Other columns stay, but for n_chars, which is the
-    length of the new text."""
+    """docs without the hit words; what remains is searched again until it holds no window of the benchmark. Other columns stay, but
+    for n_chars, which is the length of the new text."""
     spark = docs.sparkSession
     short_batches(spark)
     at, columns, schema = docs.columns.index(text_col), docs.columns, docs.schema
@@ -238,14 +242,43 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: st
 
         return df.mapInArrow(tidy(cleaned), schema)
 
-    blocks = _blocks(benchmark, item_col, item_text, window)
-    for phrases in blocks:
-        docs = stage(docs, phrases)
+    if _n_blocks(benchmark, item_text) > 1:
+        docs = _remove_in_rounds(docs, benchmark, window, text_col, item_col, item_text)
+    else:
+        for phrases in _blocks(benchmark, item_col, item_text, window):
+            docs = stage(docs, phrases)
     if "n_chars" in columns:
         docs = docs.withColumn("n_chars", F.coalesce(F.length(text_col).cast(schema["n_chars"].dataType), F.col("n_chars")))
     return docs.select(*columns)
 
 
+def _remove_in_rounds(docs: DataFrame, benchmark: DataFrame, window: int, text_col: str, item_col: str, item_text: str) -> DataFrame:
+    """docs without the hit words of all blocks, cut together; documents that changed go to the next round."""
+    at = docs.columns.index(text_col)
+    names = tuple(free_name(docs, x) for x in ("_n_words", "_spans", "_items"))
+    flag = free_name(docs, "_changed")
+    schema = StructType([*docs.schema.fields]).add(flag, BooleanType())
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spans = b.column(len(schema) - 1).to_pylist()
+            cols = list(b.columns[:-1])
+            if any(spans):
+                texts = [without(t, s) if s else t for t, s in zip(cols[at].to_pylist(), spans, strict=True)]
+                cols[at] = pa.array(texts, cols[at].type)
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([bool(s) for s in spans], pa.bool_())], names=schema.names)
+
+    left, done = docs, None
+    while True:
+        found = find(left, benchmark, window, text_col, item_col, item_text, names).select(*docs.columns, names[1])
+        step = materialize(found.mapInArrow(tidy(cut), schema), "decontamination-round")
+        clean = step.where(~F.col(flag)).drop(flag)
+        done = clean if done is None else done.union(clean)
+        left = step.where(flag).drop(flag)
+        if left.isEmpty():
+            return done
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = find(docs, table(spark, sf_dir, "benchmark"))

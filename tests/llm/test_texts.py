@@ -328,6 +328,24 @@ def test_decontamination(spark, monkeypatch, block):
     assert clean[40].split() == ["z", "z"]
 
 
+def test_removal_leaves_no_window_whatever_the_blocks(spark, odd_docs, monkeypatch):
+    r = random.Random(9)
+    words = [f"w{k}" for k in range(40)]
+    items = [(str(k), " ".join(words[k : k + 14])) for k in range(0, 26, 6)] + [("s", "x y"), ("t", "u v")]  # windows that overlap each other
+    texts = [" ".join(words[: r.randrange(10, 40)] + ["z"] + words[r.randrange(20) :]) for _ in range(6)]
+    texts += ["a " + " ".join(words[2:22]) + " b", "x u v y u x y v", "u x x y y v z", None, "", "no hit"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = []
+    for block in (4 << 20, 200):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+        got.append({x["doc_id"]: x["text"] for x in decontaminate.remove(df, bench).collect()})
+        assert len(got[-1]) == len(texts) and all(brute_hits(t, items)[1] == 0 for t in got[-1].values())
+    assert got[0] == got[1]
+    kept = decontaminate.remove(odd_docs, bench)
+    assert kept.dtypes == odd_docs.dtypes and kept.count() == 11
+
+
 def test_decontamination_of_odd_tables(spark, odd_docs, no_docs):
     bench = spark.createDataFrame([(1, "the cat sat on the mat and then the cat"), (1, "gato come"), (None, "word word")], "item_id long, text string")
     out = decontaminate.find(odd_docs, bench)
