@@ -11,11 +11,13 @@ Canonical URL: without scheme, fragment, user, default port, leading "www.", tra
 page; the host is in lower case; the other parameters are sorted.
 
 Distribution: only ids, times and headers take part, never bodies. One shuffle by URL; within a URL a running maximum answers
-the as-of join. URLs of more than `hot_url` captures are split by time at quantiles of their own, each piece is
-answered alone, and pieces take over the last response of earlier pieces, so that no task gathers a hot URL.
+the as-of join. URLs are counted first. Those of more than `hot_url` captures, and of more than one in MOST_PARTS of all, are split by
+time at quantiles of their own (up to PIECES pieces), each piece is answered alone, and pieces take over the last response of earlier
+pieces, so that no task gathers a hot URL; the quantiles, at most about 2 * MOST_PARTS numbers, are broadcast. Captures of one URL at one
+and the same time stay together.
 
-Nulls: a null url is canonically null and matches nothing; a null time matches nothing; null headers count as none. Repeated
-records are resolved alike. outcome is one of response, resolved, validator_mismatch, no_validator, no_earlier_response, other.
+Nulls: a null url is canonically null and matches nothing; a null time matches nothing, and a response without a time is "other"; null
+headers count as none; a null record id is kept. Repeated records are resolved alike. outcome is one of response, resolved, validator_mismatch, no_validator, no_earlier_response, other.
 """
 
 from __future__ import annotations
@@ -28,10 +30,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
 #: Headers of a stored response that a not-modified answer must not change.
 KEPT_HEADERS = ["connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate", "proxy-authentication-info", "proxy-authorization", "proxy-connection", "te", "trailer", "transfer-encoding", "upgrade"]
+#: Hot URLs at most, and pieces of one of them.
+MOST_PARTS, PIECES = 20_000, 1024
 _TRACKING = r"^(utm_[a-z]+|fbclid|gclid|msclkid|ref|sessionid|sid)(=|$)"
 
 
@@ -145,19 +149,31 @@ def resolve_revisits(records: DataFrame, hot_url: int = 100_000, keep: list[str]
     full = (F.col("type") == "response") & (F.col("status") == 200) & F.col("ts").isNotNull()
     r = r.withColumn("_full", F.when(F.coalesce(full, F.lit(False)), F.struct("ts", "record_id", F.map_entries("headers").alias("headers"), "digest")))
 
-    hot = r.where("canonical_url is not null").groupBy("canonical_url").agg(F.count("*").alias("_n")).where(F.col("_n") > hot_url)
-    bounds = r.join(hot, "canonical_url", "left_semi").groupBy("canonical_url").agg(F.count("*").alias("_n"), F.percentile_approx("ts", F.array(*[F.lit(k / 64) for k in range(1, 64)]), F.lit(1000)).alias("_at"))
-    r = r.join(bounds.select("canonical_url", "_at"), "canonical_url", "left")
-    r = r.withColumn("_part", F.when(F.col("_at").isNull() | F.col("ts").isNull(), 0).otherwise(F.size(F.filter("_at", lambda b: b <= F.col("ts"))))).drop("_at")
+    # rows without url or time find nothing and are dealt out by their record; the others by url, and those of a hot url by time as well
+    each = max(hot_url, records.count() // MOST_PARTS)
+    idle = F.col("canonical_url").isNull() | F.col("ts").isNull()
+    alone = -1 - F.pmod(F.xxhash64("record_id", "ts", "canonical_url"), F.lit(1 << 20)).cast("int")
+    counts = r.where(~idle).groupBy("canonical_url").agg(F.count("*").alias("_n")).where(F.col("_n") > each)
+    hot = materialize(counts, "warc-hot")
+    any_hot = not hot.isEmpty()
+    if any_hot:
+        quantiles = F.percentile_approx("ts", F.array(*[F.lit(k / PIECES) for k in range(1, PIECES)]), F.lit(10 * PIECES))
+        cuts = r.where(~idle).join(F.broadcast(hot), "canonical_url").groupBy("canonical_url").agg(F.first("_n").alias("_n"), quantiles.alias("_at"))
+        step = F.greatest(F.lit(1), F.floor(F.lit(PIECES * each) / F.col("_n")).cast("int"))
+        cuts = materialize(cuts.select("canonical_url", F.array_distinct(F.filter("_at", lambda x, k: (k + 1) % step == 0)).alias("_at")), "warc-cuts")
+        r = r.join(F.broadcast(cuts), "canonical_url", "left")
+        r = r.withColumn("_hot", F.col("_at").isNotNull() & ~idle).withColumn("_part", F.when(idle, alone).when(F.col("_at").isNull(), 0).otherwise(F.size(F.filter("_at", lambda x: x <= F.col("ts"))))).drop("_at")
+    else:
+        r = r.withColumn("_part", F.when(idle, alone).otherwise(0))
 
     earlier = Window.partitionBy("canonical_url", "_part").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
-    r = r.withColumn("_found", F.max("_full").over(earlier))
-    ends = r.where("_full is not null").join(hot, "canonical_url", "left_semi").groupBy("canonical_url", "_part").agg(F.max("_full").alias("_last"))
-    parts = r.join(hot, "canonical_url", "left_semi").select("canonical_url", "_part").distinct().join(ends, ["canonical_url", "_part"], "left")
-    carried = parts.withColumn("_carried", F.max("_last").over(Window.partitionBy("canonical_url").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).drop("_last")
-    r = r.join(carried, ["canonical_url", "_part"], "left")
-    found = F.when(F.col("canonical_url").isNotNull() & F.col("ts").isNotNull(), F.coalesce("_found", "_carried"))
-    r = r.withColumn("_found", found)
+    whole, r = r, r.withColumn("_found", F.max("_full").over(earlier))
+    if any_hot:
+        ends = whole.where("_hot").groupBy("canonical_url", "_part").agg(F.max("_full").alias("_last"))
+        before = Window.partitionBy("canonical_url").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.select("canonical_url", "_part", F.max("_last").over(before).alias("_carried"))
+        r = r.join(carried, ["canonical_url", "_part"], "left").withColumn("_found", F.coalesce("_found", "_carried"))
+    r = r.withColumn("_found", F.when(~idle, F.col("_found")))
 
     old, new = F.map_from_entries("_found.headers"), F.col("headers")
     strong = lambda c: F.when(~c.startswith("W/"), c)
@@ -186,8 +202,7 @@ def resolve_revisits(records: DataFrame, hot_url: int = 100_000, keep: list[str]
 
 def captures(pages: DataFrame) -> DataFrame:
     """A capture log derived from pages: of each page a full response, a later revisit by a variant of its url, whose validators differ for
-    every seventh page, and for every fifth page an earlier revisit. Times follow page_id."""
-    p = pages.where("page_id is not null")
+    every seventh page, and for every fifth page an earlier revisit. Times follow page_id; without one, ids and times are null."""
     tag = F.concat(F.lit('"'), F.md5(F.coalesce("html", F.lit("")).cast("binary")), F.lit('"'))
     h = lambda **x: F.create_map(*[v for k, e in x.items() for v in (F.lit(k.replace("_", "-")), e)])
     rec = lambda k, ts, kind, status, url, headers: F.struct((F.col("page_id") * 10 + k).alias("record_id"), ts.cast("long").alias("ts"), F.lit(kind).alias("type"), F.lit(status).alias("status"), url.alias("url"), headers.alias("headers"))
@@ -197,7 +212,7 @@ def captures(pages: DataFrame) -> DataFrame:
     later = rec(2, at + 20, "revisit", 304, F.concat(F.regexp_replace(url, "^https?", "http"), F.lit("#seen")), h(cache_control=F.lit("max-age=600"), content_length=F.lit("0"), date=F.concat(F.lit("day "), F.col("page_id") + 1), etag=F.when(F.col("page_id") % 7 == 0, F.lit('"other"')).otherwise(tag)))
     sooner = rec(3, at + 5, "revisit", 304, url, h(date=F.concat(F.lit("day "), F.col("page_id"))))
     rows = F.array_compact(F.array(response, later, F.when(F.col("page_id") % 5 == 0, sooner)))
-    return p.select("page_id", F.md5(F.coalesce("html", F.lit("")).cast("binary")).alias("digest"), F.explode(rows).alias("r")).select("page_id", "digest", "r.*").withColumn("digest", F.when(F.col("type") == "response", F.col("digest")))
+    return pages.select("page_id", F.md5(F.coalesce("html", F.lit("")).cast("binary")).alias("digest"), F.explode(rows).alias("r")).select("page_id", "digest", "r.*").withColumn("digest", F.when(F.col("type") == "response", F.col("digest")))
 
 
 def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,7 +223,7 @@ def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = r"""
-WITH p AS (SELECT page_id, url, md5(coalesce(html, '')) AS m, CAST(length(coalesce(html, '')) AS VARCHAR) AS n FROM pages WHERE page_id IS NOT NULL
+WITH p AS (SELECT page_id, url, md5(coalesce(html, '')) AS m, CAST(length(coalesce(html, '')) AS VARCHAR) AS n FROM pages
 ), r AS (
   SELECT page_id * 10 + 1 AS record_id, page_id, page_id * 100 + 10 AS ts, 'response' AS kind, url, 'max-age=60' AS cc, n AS cl, page_id AS day, '"' || m || '"' AS etag, m AS digest FROM p
   UNION ALL
@@ -222,14 +237,14 @@ WITH p AS (SELECT page_id, url, md5(coalesce(html, '')) AS m, CAST(length(coales
     || regexp_replace(regexp_replace(regexp_extract(b, '^[^/]*(.*)$', 1), '/index[.](html?|php)$', '/'), '/+$', '')
     || coalesce((SELECT '?' || string_agg(x, '&' ORDER BY x) FROM (SELECT unnest(string_split(q, '&')) AS x) z WHERE x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|fbclid|gclid|msclkid|ref|sessionid|sid)(=|$)')), '') AS canonical_url
   FROM t
-), f AS (SELECT canonical_url, ts, max(record_id) AS record_id FROM c WHERE kind = 'response' GROUP BY 1, 2
+), f AS (SELECT canonical_url, ts, max(record_id) AS record_id FROM c WHERE kind = 'response' AND ts IS NOT NULL GROUP BY 1, 2
 ), g AS (
   SELECT c.*, (SELECT max(f.ts) FROM f WHERE f.canonical_url = c.canonical_url AND f.ts < c.ts) AS fts FROM c
 ), j AS (
   SELECT g.*, o.record_id AS o_id, o.etag AS o_etag, o.digest AS o_digest, o.cl AS o_cl, o.cc AS o_cc
   FROM g LEFT JOIN f ON f.canonical_url = g.canonical_url AND f.ts = g.fts LEFT JOIN c o ON o.record_id = f.record_id
 ), k AS (
-  SELECT *, CASE WHEN kind = 'response' THEN 'response' WHEN o_id IS NULL THEN 'no_earlier_response' WHEN etag IS NULL THEN 'no_validator' WHEN etag = o_etag THEN 'resolved' ELSE 'validator_mismatch' END AS outcome FROM j
+  SELECT *, CASE WHEN kind = 'response' THEN CASE WHEN ts IS NULL THEN 'other' ELSE 'response' END WHEN o_id IS NULL THEN 'no_earlier_response' WHEN etag IS NULL THEN 'no_validator' WHEN etag = o_etag THEN 'resolved' ELSE 'validator_mismatch' END AS outcome FROM j
 )
 SELECT record_id, page_id, canonical_url, outcome, CASE WHEN outcome = 'resolved' THEN o_id END AS refers_to,
   CASE WHEN outcome IN ('response', 'resolved') THEN 'cache-control: ' || cc || chr(10) || 'content-length: ' || CASE WHEN outcome = 'response' THEN cl ELSE o_cl END || chr(10) || 'content-type: text/html' || chr(10) || 'date: day ' || CAST(day AS VARCHAR) || chr(10) || 'etag: ' || etag END AS headers,

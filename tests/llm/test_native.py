@@ -82,6 +82,26 @@ def test_merged_headers(spark):
     assert warc.resolve_revisits(spark.createDataFrame([], RECORD)).count() == 0
 
 
+def test_revisits_without_url_time_or_id(spark):
+    """They are kept, find nothing, and are dealt out beside a hot URL."""
+    rows = [(k if k % 3 else None, "http://a.com", k if k % 2 else None, "response" if k < 50 else "revisit", 200, {"etag": '"1"'}, None) for k in range(100)]
+    rows += [(k, None, k, "revisit", 304, None, None) for k in range(100, 120)]
+    for hot in (5, 1000):
+        got = warc.resolve_revisits(spark.createDataFrame(rows, RECORD), hot_url=hot).collect()
+        assert len(got) == 120 and sum(x["record_id"] is None for x in got) == 34
+        assert {x["outcome"] for x in got if x["ts"] is None} == {"other", "no_earlier_response"}
+        assert {x["outcome"] for x in got if x["canonical_url"] is None} == {"no_earlier_response"}
+        assert {(x["outcome"], x["refers_to"]) for x in got if x["ts"] is not None and 50 < x["ts"] < 100} == {("resolved", 49)}
+
+
+def test_pages_without_id_are_kept(spark):
+    pages = spark.createDataFrame([(None, "http://a.com", "x"), (5, None, None)], "page_id long, url string, html string")
+    got = sorted((x["page_id"], x["type"], x["record_id"]) for x in warc.captures(pages.where("page_id = 5")).collect())
+    assert got == [(5, "response", 51), (5, "revisit", 52), (5, "revisit", 53)]
+    odd = warc.resolve_revisits(warc.captures(pages), keep=["page_id"]).where("page_id is null").collect()
+    assert sorted(x["outcome"] for x in odd) == ["no_earlier_response", "other"]
+
+
 @pytest.mark.parametrize("compress", [False, True])
 def test_warc_files(spark, tmp_path, compress):
     recs = [
