@@ -23,6 +23,7 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     return {
         "op1_warc_revisits": warc.OP1_SQL,
+        "op2_mixing": mixing.OP2_SQL,
         "op5_jaccard": jaccard.OP5_SQL,
         "op8_decontaminate": decontaminate.OP8_SQL,
         "op10_url_filter": url_filter.OP10_SQL,
