@@ -1,8 +1,8 @@
 """Language ID by multinomial naive Bayes over hashed character n-grams (operator 6).
 
 Features: character bigrams and trigrams of the lower-cased text, runs of other characters than letters counting as one
-space; each is hashed to a bucket. Learning takes at most `fit_per_lang` documents of each language (those whose hash of
-the id is below a threshold set from the language's count; the bound is a parameter), counts buckets on the executors
+space; each is hashed to a bucket. Learning takes at most about `fit_per_lang` documents of each language (those whose hash of
+the id is below a threshold set from the language's count; the bound is a parameter), counts buckets where they are read
 and keeps a matrix of log-probabilities, languages x buckets, of at most MATRIX_BYTES, that is broadcast. Scoring is a map
 over Arrow batches: buckets of a batch of texts as one array, rows of the matrix gathered and summed by document.
 Texts are read once for scoring and, for the sampled documents, once for learning; nothing of a text is shuffled.
@@ -91,19 +91,21 @@ def learn(docs: DataFrame, fit_per_lang: int = 4000, seed: int = 11, smoothing:
         buckets >>= 1
     limits = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, fit_per_lang / counts[k])))])
     chance = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), id_col), 11).cast("double") + 0.5) / float(1 << 53)
-    sample = docs.where(chance < F.element_at(limits, F.col(lang_col))).where(F.col(text_col).isNotNull()).select(F.col(lang_col), F.col(text_col)).coalesce(16)
+    sample = docs.where(chance < F.element_at(limits, F.col(lang_col))).where(F.col(text_col).isNotNull()).select(F.col(lang_col), F.col(text_col))
     short_batches(docs.sparkSession)
     index = {k: n for n, k in enumerate(langs)}
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(langs) * buckets, np.int64)
+        total = None
         for b in batches:
+            if total is None:  # most partitions of a large table hold none of the sample
+                total = np.zeros(len(langs) * buckets, np.int64)
             texts, of = b.column(1).to_pylist(), np.array([index[x] for x in b.column(0).to_pylist()], np.int64)
             for i, j in _pieces(texts):
                 ids, starts, _ = grams(texts[i:j], buckets)
                 row = np.repeat(of[i:j], np.diff(np.append(starts, len(ids)))) * buckets
                 total += np.bincount((ids + row[:, None]).ravel(), minlength=len(total))
-        hit = np.flatnonzero(total)
+        hit = np.flatnonzero(total) if total is not None else ()
         for k in range(0, len(hit), 50_000):
             part = hit[k : k + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(total[part], pa.int64())], names=["cell", "n"])
