@@ -8,7 +8,8 @@ backward search through wavelet-tree ranks, locates its rows by sampled suffix p
 are merged into spans of words.
 
 Distribution: documents stay where they are read, there is no shuffle. Phrases are broadcast in blocks of at most BLOCK_BYTES
-of benchmark text; more blocks are further passes over the documents, each adding its spans. Removal cuts the spans of all blocks at
+of benchmark text (and 64 bytes an item). A pass over the documents takes up to BLOCKS_A_PASS blocks, one after the other on a shard; further
+blocks are further passes, and what a pass found is written before the next, so that a task holds the phrases of one pass only. Removal cuts the spans of all blocks at
 once and searches changed texts again in all blocks: with one block while they are at hand, with more in rounds over the documents
 that changed, each of which is written.
 
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, Str
 from .common import free_name, materialize, short_batches, table, tidy
 from .fm_index import FMIndex
 
-SHARD_WORDS, BLOCK_BYTES = 2_000_000, 4 << 20
+SHARD_WORDS, BLOCK_BYTES, BLOCKS_A_PASS = 2_000_000, 4 << 20, 4
 #: A word, in UTF-8 bytes that are lower-cased in A-Z.
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -168,25 +169,28 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str
     """docs with the number of words, the merged spans of hit words [first, last + 1) and the ids of items found."""
     spark = docs.sparkSession
     short_batches(spark)
+    docs = docs.drop(*names)
     at = docs.columns.index(text_col)
     docs = docs.withColumns({names[0]: F.lit(0).cast("long"), names[1]: F.array().cast("array<array<int>>"), names[2]: F.array().cast("array<string>")})
-    schema = StructType([f for f in docs.schema.fields if f.name not in names]).add(names[0], LongType()).add(names[1], ArrayType(ArrayType(IntegerType()))).add(names[2], ArrayType(StringType()))
-    at_spans, at_items = docs.columns.index(names[1]), docs.columns.index(names[2])
-    keep = [k for k, c in enumerate(docs.columns) if c not in names]
+    schema = StructType(docs.schema.fields[:-3]).add(names[0], LongType()).add(names[1], ArrayType(ArrayType(IntegerType()))).add(names[2], ArrayType(StringType()))
+    at_spans, at_items, keep = len(schema) - 2, len(schema) - 1, range(len(schema) - 3)
 
-    def stage(df: DataFrame, phrases: Phrases) -> DataFrame:
-        shared = spark.sparkContext.broadcast(phrases)
+    def stage(df: DataFrame, blocks: list[Phrases]) -> DataFrame:
+        shared = [spark.sparkContext.broadcast(p) for p in blocks]
 
         def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            p = shared.value
-            for held, texts in _shards(batches, at, p):
-                spans, doc, item, sizes = search_shard(p, texts)
+            for held, texts in _shards(batches, at, shared[0].value):
                 here: dict[int, list] = {}
-                for d, a, b in spans.tolist():
-                    here.setdefault(d, []).append((a, b))
                 found: dict[int, list] = {}
-                for d, i in zip(doc.tolist(), item.tolist(), strict=True):
-                    found.setdefault(d, []).append(p.ids[i])
+                for n, one in enumerate(shared):
+                    p = one.value
+                    if n:
+                        texts = [p.symbols(t.as_py()) for b in held for t in b.column(at)]
+                    spans, doc, item, sizes = search_shard(p, texts)
+                    for d, a, b in spans.tolist():
+                        here.setdefault(d, []).append((a, b))
+                    for d, i in zip(doc.tolist(), item.tolist(), strict=True):
+                        found.setdefault(d, []).append(p.ids[i])
                 k = 0
                 for b in held:
                     s = [sorted(x) if not (y := here.get(k + n)) else merged([*map(tuple, x), *y]) for n, x in enumerate(b.column(at_spans).to_pylist())]
@@ -197,11 +201,11 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str
 
         return df.mapInArrow(tidy(searched), schema)
 
-    # without a benchmark, the words are still counted
-    done = False
-    for phrases in _blocks(benchmark, item_col, item_text, window):
-        docs, done = stage(docs, phrases), True
-    return docs if done else stage(docs, Phrases([], window))
+    blocks = _blocks(benchmark, item_col, item_text, window)
+    docs = stage(docs, list(islice(blocks, BLOCKS_A_PASS)) or [Phrases([], window)])  # without a benchmark, the words are still counted
+    while more := list(islice(blocks, BLOCKS_A_PASS)):
+        docs = stage(materialize(docs, "decontamination-found"), more)
+    return docs
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
