@@ -1,7 +1,8 @@
 """Baseline JPEG: parsing, Huffman decoding, luminance thumbnails from DC coefficients (operator 7), in numpy.
 
-`decode` reads any baseline (SOF0, 8 bits, Huffman) JPEG: it parses the markers, decodes the scan and returns the
-DC-only luminance thumbnail, one sample per 8 x 8 block. Restart intervals of all images of a batch that share their
+`decode` reads any baseline (SOF0, 8 bits, Huffman) JPEG: it parses the markers, decodes the scan that holds the first part
+(luminance), alone or interleaved with others, and returns the DC-only luminance thumbnail, one sample per 8 x 8 block. Further scans
+are parsed over; a height that only a DNL segment tells is read from there. Restart intervals of all images of a batch that share their
 tables and layout are decoded in lockstep, one Huffman symbol of each interval at a time.
 
 `encode` stores bytes losslessly: each byte is a block whose samples are all that byte. The DC quantiser is 8, so that the
@@ -125,7 +126,7 @@ def encode_all(payloads: list[bytes]) -> list[bytes]:
 
 @dataclass
 class Image:
-    """What the markers of an image say."""
+    """What the markers of an image say; scan, tables, quantisers, restart and lanes are those of the scan that holds the first part."""
 
     width: int = 0
     height: int = 0
@@ -139,25 +140,54 @@ class Image:
     end: int = 0
 
 
+def _scan_end(data: bytes, at: int) -> tuple[list[bytes], int]:
+    """The restart intervals of entropy-coded data that begins at a byte, and where the marker behind it is."""
+    lanes, start = [], at
+    while True:
+        at = data.find(b"\xff", at)
+        if at < 0 or at + 1 >= len(data):
+            raise ValueError("no EOI marker")
+        follow = data[at + 1]
+        if follow == 0:
+            at += 2
+        elif 0xD0 <= follow <= 0xD7:
+            lanes.append(data[start:at])
+            at = start = at + 2
+        elif follow == 0xFF:
+            at += 1
+        else:
+            return [*lanes, data[start:at]], at
+
+
 def parse(data: bytes, at: int = 0) -> Image:
     """One image that begins at a byte. ValueError for what isn't baseline JPEG."""
     if data[at : at + 2] != b"\xff\xd8":
         raise ValueError("no SOI marker")
     image, at = Image(), at + 2
+    tables: dict[int, tuple] = {}
+    quant: dict[int, int] = {}
+    restart = 0
     while True:
         while data[at : at + 1] == b"\xff" and data[at + 1 : at + 2] == b"\xff":
             at += 1
+        if data[at : at + 1] == b"\xff" and data[at + 1 : at + 2] == b"\xd9":
+            if not image.scan:
+                raise ValueError("no scan of the first part")
+            if not image.height:
+                raise ValueError("no height")
+            image.end = at + 2
+            return image
         if data[at : at + 1] != b"\xff" or at + 4 > len(data):
             raise ValueError("a marker is missing")
         marker = data[at + 1]
-        if marker == 0xD9:
-            raise ValueError("no scan")
         (size,) = struct.unpack_from(">H", data, at + 2)
         body = data[at + 4 : at + 2 + size]
+        if len(body) < size - 2:
+            raise ValueError("a segment ends early")
         at += 2 + size
         if marker == 0xC0:
             precision, image.height, image.width, n = struct.unpack_from(">BHHB", body)
-            if precision != 8 or not image.height or not image.width:
+            if precision != 8 or not image.width or not n:
                 raise ValueError("not 8 bits, or empty")
             image.parts = [(body[6 + 3 * k], body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]) for k in range(n)]
         elif 0xC1 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
@@ -166,41 +196,33 @@ def parse(data: bytes, at: int = 0) -> Image:
             k = 0
             while k < len(body):
                 counts = tuple(body[k + 1 : k + 17])
-                image.tables[body[k]] = (counts, tuple(body[k + 17 : k + 17 + sum(counts)]))
+                tables[body[k]] = (counts, tuple(body[k + 17 : k + 17 + sum(counts)]))
                 k += 17 + sum(counts)
         elif marker == 0xDB:
             k = 0
             while k < len(body):
                 wide = body[k] >> 4
-                image.quant[body[k] & 15] = struct.unpack_from(">H", body, k + 1)[0] if wide else body[k + 1]
+                quant[body[k] & 15] = struct.unpack_from(">H", body, k + 1)[0] if wide else body[k + 1]
                 k += 1 + 64 * (1 + wide)
         elif marker == 0xDD:
-            (image.restart,) = struct.unpack_from(">H", body)
+            (restart,) = struct.unpack_from(">H", body)
+        elif marker == 0xDC:
+            (image.height,) = struct.unpack_from(">H", body)
         elif marker == 0xFE:
             image.comments.append(body)
         elif marker == 0xDA:
             index = {p[0]: k for k, p in enumerate(image.parts)}
-            image.scan = [(index[body[1 + 2 * k]], body[2 + 2 * k] >> 4, body[2 + 2 * k] & 15) for k in range(body[0])]
-            break
-    start = at
-    while True:
-        at = data.find(b"\xff", at)
-        if at < 0 or at + 1 >= len(data):
-            raise ValueError("no EOI marker")
-        follow = data[at + 1]
-        if follow == 0:
-            at += 2
-        elif 0xD0 <= follow <= 0xD7:
-            image.lanes.append(data[start:at])
-            at = start = at + 2
-        elif follow == 0xFF:
-            at += 1
-        else:
-            image.lanes.append(data[start:at])
-            image.end = at + 2
-            if follow != 0xD9:
-                raise ValueError("more than one scan")
-            return image
+            try:
+                scan = [(index[body[1 + 2 * k]], body[2 + 2 * k] >> 4, body[2 + 2 * k] & 15) for k in range(body[0])]
+            except (KeyError, IndexError):
+                raise ValueError("a scan of parts that the frame doesn't have") from None
+            lanes, at = _scan_end(data, at)
+            if any(p == 0 for p, _, _ in scan):
+                if image.scan:
+                    raise ValueError("two scans of the first part")
+                if image.parts[0][3] not in quant or any(d not in tables or 0x10 | a not in tables for _, d, a in scan):
+                    raise ValueError("a table is missing")
+                image.scan, image.tables, image.quant, image.restart, image.lanes = scan, dict(tables), dict(quant), restart, lanes
 
 
 def _decode_lanes(lanes: list[bytes], blocks: np.ndarray, layout: list[tuple[int, np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -253,21 +275,29 @@ def _decode_lanes(lanes: list[bytes], blocks: np.ndarray, layout: list[tuple[int
     return out.T
 
 
+def _samples(m: Image) -> tuple[int, int]:
+    """Width and height of the first part, which has fewer samples than the image where another part's factors are larger."""
+    (_, h, v, _) = m.parts[0]
+    return -(-m.width * h // max(p[1] for p in m.parts)), -(-m.height * v // max(p[2] for p in m.parts))
+
+
 def thumbnails(images: list[Image]) -> list[np.ndarray]:
     """The DC-only luminance thumbnail of each image, as rows of 8-bit samples. Images alike in tables and layout go together."""
     groups: dict[tuple, list[int]] = {}
     for k, m in enumerate(images):
-        key = (tuple(m.parts[p][1:3] for p, _, _ in m.scan), tuple((p, m.tables[d], m.tables[0x10 | a]) for p, d, a in m.scan))
+        frame = (max(p[1] for p in m.parts), max(p[2] for p in m.parts))
+        key = (frame, tuple(m.parts[p][1:3] for p, _, _ in m.scan), tuple((p, m.tables[d], m.tables[0x10 | a]) for p, d, a in m.scan))
         groups.setdefault(key, []).append(k)
     out: list[np.ndarray] = [np.zeros((0, 0), np.uint8)] * len(images)
-    for (factors, tables), members in groups.items():
+    for (frame, factors, tables), members in groups.items():
         alone = len(tables) == 1
         layout = [(n, look_up(d), look_up(a)) for n, ((h, v), (_, d, a)) in enumerate(zip(factors, tables, strict=True)) for _ in range(1 if alone else h * v)]
-        most_h, most_v = max(h for h, _ in factors), max(v for _, v in factors)
+        most_h, most_v = frame
         lanes, blocks, shapes = [], [], []
         for k in members:
             m = images[k]
-            across, down = (-(-m.width // 8), -(-m.height // 8)) if alone else (-(-m.width // (8 * most_h)), -(-m.height // (8 * most_v)))
+            wide, high = _samples(m)
+            across, down = (-(-wide // 8), -(-high // 8)) if alone else (-(-m.width // (8 * most_h)), -(-m.height // (8 * most_v)))
             units = across * down
             each = m.restart or units
             if -(-units // each) != len(m.lanes):
@@ -289,8 +319,8 @@ def thumbnails(images: list[Image]) -> list[np.ndarray]:
             grid = flat[:, offset : offset + h * v].reshape(down, across, v, h).transpose(0, 2, 1, 3).reshape(down * v, across * h)
             q = m.quant[m.parts[0][3]]
             pixels = np.clip(np.floor(grid.astype(np.float64) * q / 8 + 128.5), 0, 255).astype(np.uint8)
-            top, left = -(-m.height * (1 if alone else 1) // 8), -(-m.width // 8)
-            out[k] = pixels[:top, :left] if alone or (h, v) == (most_h, most_v) else pixels
+            wide, high = _samples(m)
+            out[k] = pixels[: -(-high // 8), : -(-wide // 8)]
     return out
 
 

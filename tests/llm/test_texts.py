@@ -218,13 +218,14 @@ def test_long_payloads_become_several_images():
     assert back[0][0] == p and [x[1] for x in back[0][1]] == [65528, 24] and back[1][0] == b"\xff" * 64
 
 
-def full_jpeg(coefficients, factors, restart):
-    """An encoder of its own for whole blocks: coefficients[part][down][across] is a list of 64 numbers in zigzag order."""
+def full_jpeg(coefficients, factors, restart, apart=False, late=False):
+    """An encoder of its own for whole blocks: coefficients[part][down][across] is a list of 64 numbers in zigzag order. apart: a scan for
+    each part, the first one last; late: the height is told by a DNL segment after the first scan."""
     dc = ((0, 2, 3, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0), tuple(range(11)))
     symbols = [0x00, 0xF0] + [r << 4 | s for r in range(16) for s in range(1, 9)]
     ac = ((0,) * 7 + (len(symbols),) + (0,) * 8, tuple(symbols))
     dcc, acc = ({s: (c, n) for s, c, n in jpeg.canonical(t)} for t in (dc, ac))
-    bits, body, scan = "", b"", []
+    bits = ""
 
     def number(v):
         n = abs(v).bit_length()
@@ -237,54 +238,68 @@ def full_jpeg(coefficients, factors, restart):
         bits = ""
         return out
 
-    h, v = factors[0]
-    down, across = len(coefficients[0]) // v, len(coefficients[0][0]) // h
-    last = [0] * len(factors)
-    for unit in range(down * across):
-        if restart and unit and unit % restart == 0:
-            body += flush() + bytes([0xFF, 0xD0 + (unit // restart - 1) % 8])
-            last = [0] * len(factors)
-        for part, (ph, pv) in enumerate(factors):
-            for y in range(pv):
-                for x in range(ph):
-                    block = coefficients[part][unit // across * pv + y][unit % across * ph + x]
-                    n, extra = number(block[0] - last[part])
-                    last[part] = block[0]
-                    bits += format(dcc[n][0], f"0{dcc[n][1]}b") + extra
-                    run = 0
-                    for c in block[1:]:
-                        if not c:
-                            run += 1
-                            continue
-                        while run > 15:
-                            bits += format(acc[0xF0][0], f"0{acc[0xF0][1]}b")
-                            run -= 16
-                        n, extra = number(c)
-                        bits += format(acc[run << 4 | n][0], f"0{acc[run << 4 | n][1]}b") + extra
-                        run = 0
-                    if run:
-                        bits += format(acc[0][0], f"0{acc[0][1]}b")
-    body += flush()
+    h, v = (max(f[k] for f in factors) for k in (0, 1))
+    down, across = len(coefficients[0]) // factors[0][1], len(coefficients[0][0]) // factors[0][0]
     width, height = across * h * 8 - 3, down * v * 8 - 5
-    seg = jpeg._segment
-    frame = b"".join(bytes([k + 1, a << 4 | b, 0]) for k, (a, b) in enumerate(factors))
-    scan = b"".join(bytes([k + 1, 0]) for k in range(len(factors)))
-    head = b"\xff\xd8" + seg(0xE0, b"JFIF\0") + seg(0xDB, bytes([0, 3]) + bytes([1] * 63)) + seg(0xC0, bytes([8]) + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes([len(factors)]) + frame)
-    head += jpeg._huffman_segment(0, dc) + jpeg._huffman_segment(0x10, ac) + (seg(0xDD, restart.to_bytes(2, "big")) if restart else b"")
-    return head + seg(0xDA, bytes([len(factors)]) + scan + b"\0\x3f\0") + body + b"\xff\xd9", width, height
 
+    def units(parts):
+        """The blocks of each MCU, as (part, row, column)."""
+        if len(parts) > 1:
+            return [[(p, u // across * factors[p][1] + y, u % across * factors[p][0] + x) for p in parts for y in range(factors[p][1]) for x in range(factors[p][0])] for u in range(down * across)]
+        (p,) = parts
+        wide, high = (-(-n * f // (8 * most)) for n, f, most in ((width, factors[p][0], h), (height, factors[p][1], v)))
+        return [[(p, y, x)] for y in range(high) for x in range(wide)]
+
+    def coded(parts):
+        nonlocal bits
+        body, last = b"", [0] * len(factors)
+        for k, unit in enumerate(units(parts)):
+            if restart and k and k % restart == 0:
+                body += flush() + bytes([0xFF, 0xD0 + (k // restart - 1) % 8])
+                last = [0] * len(factors)
+            for part, y, x in unit:
+                block = coefficients[part][y][x]
+                n, extra = number(block[0] - last[part])
+                last[part] = block[0]
+                bits += format(dcc[n][0], f"0{dcc[n][1]}b") + extra
+                run = 0
+                for c in block[1:]:
+                    if not c:
+                        run += 1
+                        continue
+                    while run > 15:
+                        bits += format(acc[0xF0][0], f"0{acc[0xF0][1]}b")
+                        run -= 16
+                    n, extra = number(c)
+                    bits += format(acc[run << 4 | n][0], f"0{acc[run << 4 | n][1]}b") + extra
+                    run = 0
+                if run:
+                    bits += format(acc[0][0], f"0{acc[0][1]}b")
+        return body + flush()
 
-@pytest.mark.parametrize(("factors", "restart"), [([(1, 1)], 0), ([(1, 1)], 3), ([(2, 2), (1, 1), (1, 1)], 0), ([(2, 1), (1, 1), (1, 1)], 2)])
-def test_whole_images(factors, restart):
+    seg = jpeg._segment
+    frame = b"".join(bytes([k + 1, a << 4 | b, 0]) for k, (a, b) in enumerate(factors))
+    told = b"\0\0" if late else height.to_bytes(2, "big")
+    out = b"\xff\xd8" + seg(0xE0, b"JFIF\0") + seg(0xDB, bytes([0, 3]) + bytes([1] * 63)) + seg(0xC0, bytes([8]) + told + width.to_bytes(2, "big") + bytes([len(factors)]) + frame)
+    out += jpeg._huffman_segment(0, dc) + jpeg._huffman_segment(0x10, ac) + (seg(0xDD, restart.to_bytes(2, "big")) if restart else b"")
+    for n, parts in enumerate([[k] for k in reversed(range(len(factors)))] if apart else [list(range(len(factors)))]):
+        out += seg(0xDA, bytes([len(parts)]) + b"".join(bytes([k + 1, 0]) for k in parts) + b"\0\x3f\0") + coded(parts)
+        if late and not n:
+            out += seg(0xDC, height.to_bytes(2, "big"))
+    return out + b"\xff\xd9", width, height
+
+
+@pytest.mark.parametrize("kind", ["together", "apart", "late"])
+@pytest.mark.parametrize(("factors", "restart"), [([(1, 1)], 0), ([(1, 1)], 3), ([(2, 2), (1, 1), (1, 1)], 0), ([(2, 1), (1, 1), (1, 1)], 2), ([(1, 1), (2, 2)], 2)])
+def test_whole_images(factors, restart, kind):
     rng = np.random.default_rng(3)
-    h, v = factors[0]
-    down, across = 3 * v, 4 * h
-    shape = [(down * b // v, across * a // h) for a, b in factors]
-    co = [[[[int(rng.integers(-300, 300)), *(int(x) if rng.random() < 0.1 else 0 for x in rng.integers(-100, 100, 63))] for _ in range(w)] for _ in range(d)] for d, w in shape]
-    data, width, height = full_jpeg(co, factors, restart)
+    h, v = (max(f[k] for f in factors) for k in (0, 1))
+    co = [[[[int(rng.integers(-300, 300)), *(int(x) if rng.random() < 0.1 else 0 for x in rng.integers(-100, 100, 63))] for _ in range(4 * a)] for _ in range(3 * b)] for a, b in factors]
+    data, width, height = full_jpeg(co, factors, restart, kind == "apart", kind == "late")
     w, hh, thumb = jpeg.decode(data)
     want = np.clip(np.floor(np.array([[b[0] for b in row] for row in co[0]]) * 3 / 8 + 128.5), 0, 255)
-    assert (w, hh) == (width, height) and (thumb == want[: -(-height // 8), : -(-width // 8)]).all()
+    (a, b) = factors[0]
+    assert (w, hh) == (width, height) and (thumb == want[: -(-height * b // (8 * v)), : -(-width * a // (8 * h))]).all()
     for bad in (data[:-2], data[:200], b"GIF89a", data.replace(b"\xff\xc0", b"\xff\xc2", 1)):
         with pytest.raises(ValueError):
             jpeg.decode(bad)
