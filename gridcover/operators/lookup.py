@@ -1,10 +1,14 @@
 """Deepest-ancestor lookups: which cell of a cover answers for a cell.
 
-Four forms with equal answers. `deepest` expands a query to its ancestors and keeps the deepest that is in the tree; the tree is
-broadcast while it is at most BROADCAST_ROWS rows (the tree of the whole Earth at level 12 is bounded by its levels; that of
-the 1 km raster has under a million), else Spark joins by shuffle. `by_tiles` finds the range that holds a query by an
-equality on the range's aligned block. `by_neighbours` merges queries and leaves along the curve;
-`by_search` looks queries up in the sorted leaves.
+Four forms with equal answers. `deepest` walks down the tree by halving the levels that are left, `by_tiles` finds the range that holds a
+query by an equality on the range's aligned block, `by_neighbours` merges queries and leaves along the curve, and `by_search` looks
+queries up in the sorted leaves.
+
+While the tree (or its tiles) is counted and has at most BROADCAST_ROWS rows, it is broadcast, and queries are answered where they are read:
+one stage, no shuffle. That holds for the whole Earth at 1 km, whose tree has under a million rows. Beyond that the distinct
+ids of the queries, of which there can't be more than cells of levels 0 to 12, are looked up by shuffled joins.
+
+Null ids, and ids outside of the tree's faces, get a null answer.
 """
 
 from __future__ import annotations
@@ -21,10 +25,11 @@ from . import cover
 BROADCAST_ROWS = 2_000_000
 
 
-def small(df: DataFrame) -> DataFrame:
-    """Marked for broadcast if it was counted and found small. It is kept from the count to the join: what is behind it may be long."""
+def small(df: DataFrame) -> tuple[DataFrame, bool]:
+    """Marked for broadcast if it was counted and found small, and whether it was. It is kept from the count to the join: what is behind it may be long."""
     df = df.persist()
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    few = df.count() <= BROADCAST_ROWS
+    return (F.broadcast(df) if few else df), few
 
 
 def query_compact(cell: Column | str) -> Column:
@@ -34,26 +39,55 @@ def query_compact(cell: Column | str) -> Column:
 
 
 def deepest(queries: DataFrame, members: DataFrame, compact: str = "compact") -> DataFrame:
-    """queries with answer and answer_level. Only distinct ids are looked up."""
+    """queries with answer and answer_level. members is closed towards the roots, as a tree is."""
+    tree, few = small(members.select(F.col("compact").alias("_a")).distinct())
+    if few:
+        return _halving(queries, tree, compact)
     distinct = queries.select(F.col(compact).alias("_q")).distinct()
     up = distinct.select("_q", F.explode(F.sequence(F.lit(0), cells.compact_level("_q"))).alias("_l"))
     up = up.withColumn("_a", cells.compact_ancestor("_q", F.col("_l")))
-    hit = up.join(small(members.select(F.col("compact").alias("_a"))), "_a", "left_semi").groupBy("_q").agg(F.max("_l").alias("answer_level"))
+    hit = up.join(tree, "_a", "left_semi").groupBy("_q").agg(F.max("_l").alias("answer_level"))
     hit = hit.withColumn("answer", cells.compact_ancestor("_q", F.col("answer_level")))
     return queries.join(hit, F.col(compact) == F.col("_q"), "left").select(*queries.columns, "answer", "answer_level")
 
 
+def _halving(queries: DataFrame, tree: DataFrame, compact: str) -> DataFrame:
+    """The deepest level whose ancestor is in the tree, by steps of 8, 4, 2 and 1 levels from above level 0: if an ancestor is in it, all above
+    are. Each step is a join with the same broadcast table."""
+    tree = tree.withColumn("_in", F.lit(True))
+    q = queries.withColumn("_l", F.lit(-1))
+    for step in (8, 4, 2, 1):
+        at = F.col("_l") + step
+        q = q.withColumn("_k", F.when(at <= cells.compact_level(compact), cells.compact_ancestor(compact, at)))
+        q = q.join(tree, F.col("_k") == F.col("_a"), "left").select(*queries.columns, F.when(F.col("_in"), F.col("_l") + step).otherwise(F.col("_l")).alias("_l"))
+    level = F.when(F.col("_l") >= 0, F.col("_l"))
+    return q.select(*queries.columns, F.when(F.col("_l") >= 0, cells.compact_ancestor(compact, F.col("_l"))).alias("answer"), level.alias("answer_level"))
+
+
 def by_tiles(queries: DataFrame, members: DataFrame, compact: str = "compact") -> DataFrame:
-    """The same through tiles: a tile is an aligned block of 2^(25 - 2 l) ids, so that (l, id >> (25 - 2 l)) is a key."""
-    t = cover.tiles(members).select(F.col("answer").alias("_t"), "lo", (F.col("hi") - F.col("lo")).alias("_w"))
-    t = t.select("_t", F.bit_count(F.col("_w") - 1).alias("_b"), "lo").select("_t", "_b", cells.shr(F.col("lo"), F.col("_b")).alias("_k"))
-    sizes = F.array(*[F.lit(25 - 2 * level) for level in range(13)])
-    q = queries.select(F.col(compact).alias("_q")).distinct().select("_q", F.explode(sizes).alias("_b"))
-    q = q.withColumn("_k", cells.shr(F.col("_q"), F.col("_b")))
-    hit = q.join(small(t), ["_b", "_k"])
-    level = F.least(cells.compact_level("_t"), cells.compact_level("_q"))
-    hit = hit.select("_q", level.alias("answer_level")).select("_q", "answer_level", cells.compact_ancestor("_q", F.col("answer_level")).alias("answer"))
-    return queries.join(hit, F.col(compact) == F.col("_q"), "left").select(*queries.columns, "answer", "answer_level")
+    """The same through tiles: a tile is an aligned block of 2^(25 - 2 l) ids, so that (l, id >> (25 - 2 l)) is a key. Each id is in
+    exactly one, so that with few tiles nothing is kept or gathered and queries may be a stream."""
+    tiles, few = small(_tile_keys(members))
+    inside = F.col("_q").between(0, 6 * (1 << 25) - 1)
+    bits = F.when(inside, F.array(*[F.lit(25 - 2 * level) for level in range(13)])).otherwise(F.array(F.lit(-1)))
+    q = queries.withColumn("_q", F.col(compact)) if few else queries.select(F.col(compact).alias("_q")).distinct()
+    q = q.withColumn("_b", F.explode(bits))
+    q = q.withColumn("_k", F.when(F.col("_b") >= 0, cells.shr(F.col("_q"), F.col("_b"))))
+    hit = q.join(tiles, ["_b", "_k"], "left").where("_found or _b < 0")
+    hit = hit.withColumn("answer_level", F.least(cells.compact_level("_t"), cells.compact_level("_q")))
+    hit = hit.withColumn("answer_level", F.when(F.col("_t").isNotNull(), F.col("answer_level"))).withColumn("answer", cells.compact_ancestor("_q", F.col("answer_level")))
+    if few:
+        return hit.select(*queries.columns, "answer", "answer_level")
+    return queries.join(hit.select("_q", "answer", "answer_level"), F.col(compact) == F.col("_q"), "left").select(*queries.columns, "answer", "answer_level")
+
+
+def _tile_keys(members: DataFrame) -> DataFrame:
+    """_b, _k, _t, _found: each tile by its block, and a block without an answer for each face that has no member."""
+    t = cover.tiles(members).select(F.col("answer").alias("_t"), "lo", F.bit_count(F.col("hi") - F.col("lo") - 1).alias("_b"))
+    t = t.select("_b", cells.shr(F.col("lo"), F.col("_b")).alias("_k"), "_t")
+    faces = members.sparkSession.range(6).select(F.col("id").cast("int").alias("_k"))
+    empty = faces.join(members.where("level = 0").select(cells.compact_face("compact").alias("_k")), "_k", "left_anti")
+    return t.unionByName(empty.select(F.lit(25).alias("_b"), "_k", F.lit(None).cast("int").alias("_t"))).withColumn("_found", F.lit(True))
 
 
 def by_neighbours(queries: DataFrame, leaf_cells: DataFrame, compact: str = "compact", block_level: int = 3) -> DataFrame:

@@ -128,6 +128,6 @@ SELECT o_orderkey, compact, CAST(max(r.range) AS INTEGER) AS shared_level FROM (
         "face_coverage": base + "SELECT 6 - count(DISTINCT compact // 33554432) AS missing FROM tree",
         "leaf_set_difference": "SELECT * FROM (VALUES ('left', CAST(0 AS BIGINT)), ('right', CAST(0 AS BIGINT))) t(side, n)",
         "oracle_mismatch_count": "SELECT CAST(0 AS BIGINT) AS mismatches",
-        "sampled_paths": "SELECT CAST(f.range AS INTEGER) AS face, CAST(l.range AS INTEGER) AS level, p.range * CAST(power(4, l.range) AS BIGINT) // least(64, CAST(power(4, l.range) AS BIGINT)) AS path, CAST(f.range * 33554432 + (p.range * CAST(power(4, l.range) AS BIGINT) // least(64, CAST(power(4, l.range) AS BIGINT))) * CAST(power(2, 25 - 2 * l.range) AS BIGINT) + CAST(power(2, 24 - 2 * l.range) AS BIGINT) AS INTEGER) AS compact FROM range(6) f CROSS JOIN range(7) l JOIN range(64) p ON p.range < least(64, CAST(power(4, l.range) AS BIGINT))",
+        "sampled_paths": "SELECT CAST(f.range AS INTEGER) AS face, CAST(l.range AS INTEGER) AS level, p.range * CAST(power(4, l.range) AS BIGINT) // least(4096, CAST(power(4, l.range) AS BIGINT)) AS path, CAST(f.range * 33554432 + (p.range * CAST(power(4, l.range) AS BIGINT) // least(4096, CAST(power(4, l.range) AS BIGINT))) * CAST(power(2, 25 - 2 * l.range) AS BIGINT) + CAST(power(2, 24 - 2 * l.range) AS BIGINT) AS INTEGER) AS compact FROM range(6) f CROSS JOIN range(13) l JOIN range(4096) p ON p.range < least(4096, CAST(power(4, l.range) AS BIGINT))",
         "throughput_summary": "SELECT count(*) * 1000 / sum(abs(value) + 0.001) AS aggregate_qps, median(1000 / (abs(value) + 0.001)) AS median_qps FROM events",
     }

@@ -3,18 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..functions import cells
-from ..operators import cover, lookup
+from ..operators import lookup
 
 
 def resolve(queries: DataFrame, members: DataFrame, compact: str = "compact") -> DataFrame:
     """queries (streaming or not) with answer and answer_level. Each query meets exactly one tile, so that no state is kept: a plain
-    stream-static join."""
-    t = cover.tiles(members).select(F.col("answer").alias("_t"), "lo", F.bit_count(F.col("hi") - F.col("lo") - 1).alias("_b"))
-    t = lookup.small(t.select("_t", "_b", cells.shr(F.col("lo"), F.col("_b")).alias("_k")))
-    q = queries.withColumn("_b", F.explode(F.array(*[F.lit(25 - 2 * level) for level in range(13)])))
-    hit = q.withColumn("_k", cells.shr(F.col(compact), F.col("_b"))).join(t, ["_b", "_k"])
-    hit = hit.withColumn("answer_level", F.least(cells.compact_level("_t"), cells.compact_level(compact)))
-    return hit.withColumn("answer", cells.compact_ancestor(compact, F.col("answer_level"))).select(*queries.columns, "answer", "answer_level")
+    stream-static join. A cover of more than lookup.BROADCAST_ROWS tiles is refused for streams."""
+    if queries.isStreaming and not lookup.small(lookup._tile_keys(members))[1]:
+        raise ValueError(f"more than {lookup.BROADCAST_ROWS} tiles")
+    return lookup.by_tiles(queries, members, compact)

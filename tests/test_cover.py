@@ -82,6 +82,23 @@ def test_lookups_agree_with_the_walk(spark, tree):
         assert all(x["answer_level"] == level(x["answer"]) for x in got.collect())
 
 
+@pytest.mark.parametrize("most", [lookup.BROADCAST_ROWS, 0])
+def test_lookups_whatever_is_broadcast(spark, tree, monkeypatch, most):
+    """Few members: one stage without a shuffle. Many: by shuffled joins. Null ids and faces without members have no answer."""
+    monkeypatch.setattr(lookup, "BROADCAST_ROWS", most)
+    members, df = tree
+    df = df.where(cells.compact_face("compact") != 2)
+    q = [(k, c) for k, c in enumerate([None, 2 << 25 | 1 << 24, 2 << 25 | 1, 3 << 25 | 1, 1 << 24, *sorted(members)[::7]])]
+    want = {k: None if c is None or c >> 25 == 2 else max((anc(c, l) for l in range(level(c) + 1) if anc(c, l) in members), key=level) for k, c in q}
+    queries = spark.createDataFrame(q, "k long, compact int")
+    for how in (lookup.deepest, lookup.by_tiles):
+        got = how(queries, df)
+        assert {x["k"]: x["answer"] for x in got.collect()} == want and got.count() == len(q)
+        assert all((x["answer"] is None) == (x["answer_level"] is None) for x in got.collect())
+        plan = how(queries, df)._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+        assert ("Exchange hashpartitioning" in plan) == (most == 0)
+
+
 def test_finer_queries_and_invalid_ids(spark, tree):
     df = spark.range(50).select(cells.from_path(F.col("id") % 6, F.lit(20), F.col("id") * 7919).alias("cell"))
     df = df.withColumn("a", lookup.query_compact("cell")).withColumn("b", cells.to_compact(cells.ancestor("cell", 12)))
