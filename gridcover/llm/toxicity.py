@@ -20,7 +20,10 @@ value is that of its best sentence. A sentence ends at a line's end, and at . !
 sentence. Texts are mapped where they are read.
 
 Learning takes at most about `fit_rows` labelled documents of each class (by a threshold on a hash of the id; the bound is
-a parameter); where a class is thinned, its rows weigh more in the curve, so that scores are shares among all labels. Null or empty texts get the lowest score. Repeated labels of an id count as the larger one. With no toxic
+a parameter); where a class is thinned, its rows weigh more in the curve, so that scores are shares among all labels. All words of the
+sample that are telling are witnesses. What else the machine is fitted to is bounded by parameters as well (`Sizes`): how many words of clean
+sentences, hard clean words and words of toxic documents found by the first machine, of how many witnesses there are variants,
+and how many landmarks there are; these are what makes the kernel matrix, words by landmarks. Null or empty texts get the lowest score. Repeated labels of an id count as the larger one. With no toxic
 or no clean label to learn from, every score is the share of toxic labels (0 without labels).
 """
 
@@ -51,6 +54,22 @@ _LOWEST = -2.0
 TOP, FLOOR, SECOND = 3, -1.0, 0.3
 
 
+@dataclass(frozen=True)
+class Sizes:
+    """Bounds of what the machine of words is fitted to; the first in the order given are taken."""
+
+    #: Words of clean sentences: those in most sentences, and others by a hash.
+    common: int = 1000
+    other: int = 4000
+    #: Clean documents' best words, by value; toxic documents' best words above them, by count.
+    hard: int = 2000
+    found: int = 300
+    #: Witnesses with variants, witnesses that may be landmarks, and landmarks; the most telling first.
+    varied: int = 150
+    pool: int = 400
+    landmarks: int = 256
+
+
 @cache
 def _positions() -> tuple[np.ndarray, np.ndarray]:
     """Index triples within a piece and its two marks, and the weight of each by its span."""
@@ -254,18 +273,18 @@ def _hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 2e
     return w
 
 
-def fit_words(toxic: list[tuple[str, float]], clean: list[str], landmarks: int = 256) -> Machine:
+def fit_words(toxic: list[tuple[str, float]], clean: list[str], sizes: Sizes = Sizes()) -> Machine:
     """A machine from witness words with weights, the most telling first, and words of clean sentences."""
     rng = np.random.default_rng(9)
     witness = [(p, w) for word, w in toxic for p in pieces(word)]
-    odd = [(v, w / 4) for word, w in witness[:150] for v in variants(word, rng)]
+    odd = [(v, w / 4) for word, w in witness[: sizes.varied] for v in variants(word, rng)]
     clean = [p for w in clean for p in pieces(w)]
-    pool = [w for w, _ in witness[:400]]
+    pool = [w for w, _ in witness[: sizes.pool]]
     near, chosen = kernel(pool, pool), []
     for n in range(len(pool)):
-        if len(chosen) < landmarks // 2 and (not chosen or near[n, chosen].max() < 0.9):
+        if len(chosen) < sizes.landmarks // 2 and (not chosen or near[n, chosen].max() < 0.9):
             chosen.append(n)
-    marks = list(dict.fromkeys([pool[n] for n in chosen] + clean[: landmarks - len(chosen)]))
+    marks = list(dict.fromkeys([pool[n] for n in chosen] + clean[: sizes.landmarks - len(chosen)]))
     words = [w for w, _ in witness + odd] + clean
     weight = np.array([w for _, w in witness + odd] + [0.0] * len(clean))
     y = np.where(weight > 0, 1.0, -1.0)
@@ -320,7 +339,7 @@ def _curve(values: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float
     return float(w[0]), float(w[1])
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: int = 3000, seed: int = 3, id_col: str = "doc_id", text_col: str = "text") -> Machine:
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: int = 3000, seed: int = 3, id_col: str = "doc_id", text_col: str = "text", sizes: Sizes = Sizes()) -> Machine:
     labels = labels.where(F.col(label).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label).cast("int").alias("_y"))
     n = {r[0]: r[1] for r in labels.groupBy("_y").count().collect()}
     if not n.get(1) or not n.get(0):
@@ -343,23 +362,23 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: in
     # log-likelihood ratio against the share of toxic sentences in the sample, where the words are counted too; by chance, no word of so many would exceed the log of their number
     c, d = F.col("c"), F.col("d")
     ratio = c * F.log(c / (c + d) / share) + F.when(d > 0, d * F.log(d / (c + d) / (1 - share))).otherwise(0.0)
-    telling = counts.where(c / (c + d) > share).withColumn("s", ratio).where(F.col("s") > max(3.0, float(np.log(max(1, distinct))))).orderBy(F.desc("s"), "w").limit(300).collect()
+    telling = counts.where(c / (c + d) > share).withColumn("s", ratio).where(F.col("s") > max(3.0, float(np.log(max(1, distinct))))).orderBy(F.desc("s"), "w").collect()
     most = F.col("c") * float(stands[1] / stands[0])  # toxic sentences, in the proportion of all labels
-    common = counts.where((F.col("d") >= 2) & (most < 2 * F.col("d"))).orderBy(F.desc("d"), "w").limit(1000).collect()
-    other = counts.where((F.col("d") >= 1) & (most <= F.col("d"))).orderBy(F.xxhash64("w"), "w").limit(4000).collect()
+    common = counts.where((F.col("d") >= 2) & (most < 2 * F.col("d"))).orderBy(F.desc("d"), "w").limit(sizes.common).collect()
+    other = counts.where((F.col("d") >= 1) & (most <= F.col("d"))).orderBy(F.xxhash64("w"), "w").limit(sizes.other).collect()
     if not telling:
         return Machine(np.zeros(1, np.float32), constant=n[1] / (n[1] + n[0]))
     witness = [(r["w"], r["s"]) for r in telling]
     known = {w for w, _ in witness}
-    clean = list(dict.fromkeys([r["w"] for r in other[:500]] + [r["w"] for r in common] + [r["w"] for r in other[500:]]))
-    machine = fit_words(witness, clean)
+    clean = list(dict.fromkeys([r["w"] for r in other[: sizes.landmarks * 2]] + [r["w"] for r in common] + [r["w"] for r in other[sizes.landmarks * 2 :]]))
+    machine = fit_words(witness, clean, sizes)
     for _ in range(2):
         best = materialize(_best(sample, machine), "toxicity-best")
         edge = best.where("_y = 0").agg(F.percentile("v", F.lit(0.995))).first()[0]
-        hard = best.where("_y = 0").groupBy("w").agg(F.max("v").alias("v")).orderBy(F.desc("v"), "w").limit(2000).collect()
-        more = best.where((F.col("_y") == 1) & (F.col("v") > max(0.0, edge or 0.0))).groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(300).collect()
+        hard = best.where("_y = 0").groupBy("w").agg(F.max("v").alias("v")).orderBy(F.desc("v"), "w").limit(sizes.hard).collect()
+        more = best.where((F.col("_y") == 1) & (F.col("v") > max(0.0, edge or 0.0))).groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(sizes.found).collect()
         clean = [w for w in dict.fromkeys([_letters_of(r["w"]) for r in hard] + clean) if w and w not in known]
-        machine = fit_words(witness + [(w, 5.0) for w in dict.fromkeys(_letters_of(r["w"]) for r in more) if w and w not in known], clean)
+        machine = fit_words(witness + [(w, 5.0) for w in dict.fromkeys(_letters_of(r["w"]) for r in more) if w and w not in known], clean, sizes)
 
     got = _fronts(sample, machine).toPandas()
     y = got["_y"].to_numpy(np.int64)
