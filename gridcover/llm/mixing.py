@@ -11,8 +11,8 @@ One more document, the one whose size closes the remaining gap best, is added wh
 
 Distribution: texts are read once into a narrow table (id, source, size, draw) in the shared folder. Sizes are classed by their
 power of two, told from their bits. Where a walk meets an overrunning document is found by counting words in about sqrt(n) rank buckets of
-a source, then ordering the one bucket where the budget ends, so that no task sorts a source; each walk is a pass over the
-narrow table. All sums are pre-aggregated before the shuffle. Per-source
+a source, each for the same expected number of documents, then ordering the one bucket where the budget ends, so that no
+task sorts a source; each walk is a pass over the narrow table. All sums are pre-aggregated before the shuffle. Per-source
 tables hold one row a source; they are joined by whatever Spark finds fit for their size.
 
 Null or empty texts have size 0 and are never taken. A null source is a source of its own, the last. Rows that agree in
@@ -100,15 +100,17 @@ def mix(docs: DataFrame, weights=cycling_weights, seed: int = 7, max_copies: int
     sources = sources.withColumn("_cap", (F.col("_size") * max_copies).cast("double")).withColumn("_all", F.sum("_size").over(Window.partitionBy(F.lit(0))).cast("double"))
     sources = water_level(sources, [], "_weight", "_cap", "_all", "_level")
     target = F.coalesce(F.least(F.col("_cap"), F.col("_level") * F.col("_weight")), F.col("_cap"))
-    sources = sources.select("_s", "_size", target.alias("_target"), F.ceil(F.sqrt("_docs")).cast("int").alias("_buckets"))
+    sources = sources.select("_s", "_size", target.alias("_target"))
 
-    by_class = classes.select("_s", "_k", "_words").join(sources, "_s")
+    by_class = classes.select("_s", "_k", "_words", "_docs").join(sources, "_s")
     by_class = by_class.withColumn("_w", F.pow(F.lit(2.0), -damping * F.col("_k"))).withColumn("_cw", F.col("_words") * F.col("_w") + F.when(F.col("_words") == 0, 1.0).otherwise(0.0)).withColumn("_cc", (F.col("_words") * max_copies).cast("double"))
     by_class = water_level(by_class, ["_s"], "_cw", "_cc", "_target", "_level")
     copies = F.coalesce(F.least(F.lit(float(max_copies)), F.col("_level") * F.col("_w")), F.lit(float(max_copies)))
     copies = F.when(F.col("_words") == 0, 0.0).when(F.abs(copies - F.round(copies)) < 1e-9, F.round(copies)).otherwise(copies)
-    per_source = by_class.withColumn("_m", copies).groupBy("_s").agg(
-        F.first("_size").alias("_size"), F.first("_target").alias("_target"), F.first("_buckets").alias("_buckets"),
+    by_class = by_class.withColumn("_m", copies).withColumn("_p", F.col("_m") - F.floor("_m")).withColumn("_part", F.when(F.col("_p") > 0, F.col("_docs")))
+    per_source = by_class.groupBy("_s").agg(
+        F.first("_size").alias("_size"), F.first("_target").alias("_target"), F.sum("_part").cast("double").alias("_parts"),
+        F.collect_list(F.when(F.col("_p") > 0, F.struct(F.col("_part").cast("double").alias("n"), ((1 - F.col("_p")) / F.col("_p")).alias("r")))).alias("_odds"),
         F.map_from_entries(F.collect_list(F.struct("_k", "_m"))).alias("_copies"),
         (F.first("_target") - F.sum(F.floor("_m") * F.col("_words"))).alias("_budget"),
     )
@@ -118,7 +120,9 @@ def mix(docs: DataFrame, weights=cycling_weights, seed: int = 7, max_copies: int
     d = n.join(per_source, "_s").withColumn("_m", F.element_at("_copies", F.col("_k"))).withColumn("_sure", F.floor("_m"))
     d = d.withColumn("_p", F.col("_m") - F.col("_sure"))
     d = d.withColumn("_q", F.when((F.col("_p") > 0) & (F.col("_n") > 0), F.col("_u") / (1 - F.col("_u")) * (1 - F.col("_p")) / F.col("_p")))
-    d = d.withColumn("_b", F.floor(F.col("_q") / (1 + F.col("_q")) * F.col("_buckets")).cast("int")).select("_id", "_s", "_n", "_size", "_target", "_sure", "_q", "_b")
+    # how many documents of the source are expected up to a rank, in buckets of its square root; each step of the sum grows with the rank
+    ahead = F.aggregate("_odds", F.lit(0.0), lambda n, x: n + x["n"] / (1 + x["r"] / F.col("_q")))
+    d = d.withColumn("_b", F.when(F.col("_q").isNotNull(), F.floor(ahead / F.sqrt("_parts"))).cast("int")).select("_id", "_s", "_n", "_size", "_target", "_sure", "_q", "_b")
     ranked = d.where("_q is not null").select("_s", "_n", "_q", "_b")
     state = per_source.select("_s", "_target", F.col("_budget").alias("_gap"), F.lit(float("inf")).alias("_most"), F.lit(-1.0).alias("_after"), F.array().cast("array<struct<after:double,upto:double,most:double>>").alias("_steps"), F.lit(False).alias("_done"))
     state = _fill(ranked, state)
