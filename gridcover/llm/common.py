@@ -9,13 +9,16 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows handed to a Python worker at once. Texts differ in length by orders of magnitude, so batches are kept short.
-ARROW_ROWS = 2000
+#: Rows and bytes handed to a Python worker at once. Texts differ in length by orders of magnitude, so batches are kept short.
+ARROW_ROWS, ARROW_BYTES = 2000, 16 << 20
+#: Characters from which a text is read piece by piece, where its words or tokens as a list would take much memory.
+LONG = 1 << 22
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +68,9 @@ def short_batches(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [here, env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))]))
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    most = int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b"))
+    if not 0 < most <= ARROW_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def tidy(f):
@@ -93,6 +99,11 @@ def held_out(doc_id: Column | str, mod: int, rest: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % mod == rest
 
 
+def matches(pattern, text, long: int = LONG) -> Iterator:
+    """All matches of a compiled pattern; those of a long text one after the other, never as one list."""
+    return iter(pattern.findall(text)) if len(text) < long else (m.group() for m in pattern.finditer(text))
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that df doesn't use."""
     taken = {c.lower() for c in df.columns}

@@ -4,7 +4,8 @@ Features: character bigrams and trigrams of the lower-cased text, runs of other
 space; each is hashed to a bucket. Learning takes at most about `fit_per_lang` documents of each language (those whose hash of
 the id is below a threshold set from the language's count; the bound is a parameter), counts buckets where they are read
 and keeps a matrix of log-probabilities, languages x buckets, of at most MATRIX_BYTES, that is broadcast. Scoring is a map
-over Arrow batches: buckets of a batch of texts as one array, rows of the matrix gathered and summed by document.
+over Arrow batches: buckets of about CHARS_AT_ONCE characters as one array, rows of the matrix gathered and summed by document; longer
+texts are read in pieces that begin with the two letters before, so that their n-grams are those of the whole text.
 Texts are read once for scoring and, for the sampled documents, once for learning; nothing of a text is shuffled.
 
 score is the posterior probability of the language. A text that is null or has no letter gets `und` and score 0. With
@@ -60,23 +61,52 @@ def grams(texts: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray, np.nd
     stop = np.cumsum(np.add.reduceat(keep.astype(np.int64), np.concatenate([[0], ends[:-1]])))
     before = np.concatenate([[np.uint64(0)], x[:-1]])
     two = (before * np.uint64(0x9E3779B97F4A7C15) + x) * np.uint64(0xBF58476D1CE4E5B9)
-    three = (np.concatenate([[np.uint64(0)], two[:-1]]) ^ (x * np.uint64(0x94D049BB133111EB))) * np.uint64(0x9E3779B97F4A7C15)
+    ahead = np.concatenate([[np.uint64(0)], two[:-1]])
+    ahead[before == 0] = 0  # a text begins here, whatever was before
+    three = (ahead ^ (x * np.uint64(0x94D049BB133111EB))) * np.uint64(0x9E3779B97F4A7C15)
     shift = np.uint64(64 - int(buckets).bit_length() + 1)
     ids = np.stack([two >> shift, three >> shift], axis=1).astype(np.int32)
     return ids, np.concatenate([[0], stop[:-1]]), letters
 
 
-def _pieces(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Slices of the texts of about CHARS_AT_ONCE characters; a longer text stands alone."""
-    start = size = 0
+def _cut(text: str) -> Iterator[tuple[str, int, bool]]:
+    """The text in pieces of about CHARS_AT_ONCE characters: (piece, whether it begins with two letters of the piece before, whether it is the
+    last). Each cut is within a run of letters; where there is none, a piece is longer."""
+    start = 0
+    while True:
+        stop = start + CHARS_AT_ONCE
+        while stop < len(text) and not text[stop - 2 : stop + 1].isalpha():
+            stop += 1
+        last = stop >= len(text)
+        yield text[max(0, start - 2) : stop], start > 0, last
+        if last:
+            return
+        start = stop
+
+
+def _grams(texts: list[str | None], buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For slices of the texts, one after the other: which texts, the buckets of their n-grams, where each text's begin, and its letters."""
+    held: list[tuple[int, str]] = []
+    size = 0
+
+    def flush():
+        ids, starts, letters = grams([t for _, t in held], buckets)
+        return np.array([k for k, _ in held]), ids, starts, letters
+
     for k, t in enumerate(texts):
-        n = len(t or "")
-        if size and size + n > CHARS_AT_ONCE:
-            yield start, k
-            start, size = k, 0
-        size += n + 1
-    if start < len(texts):
-        yield start, len(texts)
+        t = t or ""
+        if held and size + len(t) > CHARS_AT_ONCE:
+            yield flush()
+            held, size = [], 0
+        if len(t) <= CHARS_AT_ONCE:
+            held.append((k, t))
+            size += len(t) + 1
+            continue
+        for piece, joined, last in _cut(t):
+            ids, _, letters = grams([piece], buckets)
+            yield np.array([k]), ids[2 if joined else 0 : len(ids) if last else -1], np.array([0]), letters
+    if held:
+        yield flush()
 
 
 def learn(docs: DataFrame, fit_per_lang: int = 4000, seed: int = 11, smoothing: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
@@ -101,9 +131,8 @@ def learn(docs: DataFrame, fit_per_lang: int = 4000, seed: int = 11, smoothing:
             if total is None:  # most partitions of a large table hold none of the sample
                 total = np.zeros(len(langs) * buckets, np.int64)
             texts, of = b.column(1).to_pylist(), np.array([index[x] for x in b.column(0).to_pylist()], np.int64)
-            for i, j in _pieces(texts):
-                ids, starts, _ = grams(texts[i:j], buckets)
-                row = np.repeat(of[i:j], np.diff(np.append(starts, len(ids)))) * buckets
+            for at, ids, starts, _ in _grams(texts, buckets):
+                row = np.repeat(of[at], np.diff(np.append(starts, len(ids)))) * buckets
                 total += np.bincount((ids + row[:, None]).ravel(), minlength=len(total))
         hit = np.flatnonzero(total) if total is not None else ()
         for k in range(0, len(hit), 50_000):
@@ -123,16 +152,16 @@ def score_texts(texts: list[str | None], langs: list[str], logp: np.ndarray) ->
     pred, score = ["und"] * len(texts), np.zeros(len(texts))
     if not langs:
         return pred, score
-    for i, j in _pieces(texts):
-        part = [t or "" for t in texts[i:j]]
-        ids, starts, letters = grams(part, len(logp))
-        like = np.add.reduceat(logp[ids[:, 0]] + logp[ids[:, 1]], starts, axis=0).astype(np.float64)
-        like -= like.max(axis=1, keepdims=True)
-        p = np.exp(like)
-        p /= p.sum(axis=1, keepdims=True)
-        best = p.argmax(axis=1)
-        for k in np.flatnonzero(letters > 0):
-            pred[i + k], score[i + k] = langs[best[k]], p[k, best[k]]
+    like, has = np.zeros((len(texts), len(langs))), np.zeros(len(texts), bool)
+    for at, ids, starts, letters in _grams(texts, len(logp)):
+        like[at] += np.add.reduceat(logp[ids[:, 0]] + logp[ids[:, 1]], starts, axis=0, dtype=np.float64)
+        has[at] |= letters > 0
+    like -= like.max(axis=1, keepdims=True, initial=-np.inf)
+    p = np.exp(like)
+    p /= p.sum(axis=1, keepdims=True)
+    best = p.argmax(axis=1)
+    for k in np.flatnonzero(has):
+        pred[k], score[k] = langs[best[k]], p[k, best[k]]
     return pred, score
 
 
