@@ -9,7 +9,7 @@ byte-level tokenizer merges within pre-tokens only and no pre-token of a text is
 Pre-tokens are found by `re` where a text has only characters whose class is known (ASCII and Latin letters up to
 U+017F), by `regex` with Unicode classes elsewhere; both are the same pattern.
 
-The proven set is bounded by the vocabulary. The memory of merged pre-tokens is emptied at MEMORY entries. Documents
+The proven set is bounded by the vocabulary. Texts of LONG characters or more are cut and counted step by step. The memory of merged pre-tokens is emptied at MEMORY entries. Documents
 are counted where they are read: no shuffle. Null or empty texts have 0 bytes and 0 tokens.
 """
 
@@ -17,12 +17,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import short_batches, table, tidy
+from .common import LONG, short_batches, table, tidy
 
 MEMORY = 300_000
 #: The pre-token pattern of the byte-level vocabulary, with classes that both engines know.
@@ -43,6 +44,13 @@ def splitter():
     return lambda text: latin(text) if known(text) else wide(text)
 
 
+def _stepwise(text: str) -> Iterator[str]:
+    """The same pre-tokens one after the other, for a text whose list of them would take much memory."""
+    import regex
+
+    return (m.group() for m in regex.finditer(_PATTERN.format(**_WIDE), text))
+
+
 def whole_tokens(tokenizer, batch: int = 10_000) -> frozenset[str]:
     """The strings of the vocabulary that encode alone, as one pre-token, to their own id and nothing else."""
     split, vocab = splitter(), tokenizer.get_vocab(with_added_tokens=False)
@@ -74,12 +82,23 @@ class Counter:
 
     def count(self, texts: list[str | None]) -> list[int]:
         pieces, extra = [], []
-        for text in texts:
+        for n, text in enumerate(texts):
             parts = [text or ""]
             if self.cut is not None and text and self.cut.search(text):
                 parts = self.cut.split(text)
             extra.append(len(parts) - 1)
-            pieces.append([t for p in parts for t in self.split(p)] if len(parts) > 1 else self.split(parts[0]))
+            if len(text or "") >= LONG:  # its pre-tokens are counted a slice at a time
+                for p in parts:
+                    rest = _stepwise(p)
+                    while some := list(islice(rest, 100_000)):
+                        extra[n] += self._counted([some])[0]
+                pieces.append([])
+            else:
+                pieces.append([t for p in parts for t in self.split(p)] if len(parts) > 1 else self.split(parts[0]))
+        return [a + b for a, b in zip(self._counted(pieces), extra, strict=True)]
+
+    def _counted(self, pieces: list[list[str]]) -> list[int]:
+        """Tokens of lists of pre-tokens."""
         known = self.known
         if len(known) > self.memory + len(self.proven):
             known = self.known = dict.fromkeys(self.proven, 1)
@@ -87,7 +106,7 @@ class Counter:
         for k in range(0, len(new), 20_000):
             part = new[k : k + 20_000]
             known.update(zip(part, (len(e.ids) for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-        return [sum(map(known.__getitem__, p)) + n for p, n in zip(pieces, extra, strict=True)]
+        return [sum(map(known.__getitem__, p)) for p in pieces]
 
 
 _COUNTERS: dict = {}
