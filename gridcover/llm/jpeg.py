@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import short_batches, table, tidy
 
 BLOCKS_A_ROW, MOST_ROWS = 64, 8191
+#: Payload bytes that are coded and decoded together.
+BYTES_AT_ONCE = 1 << 20
 #: Huffman tables of our own images, as (codes of each length, symbols): DC by size of the difference, AC with end-of-block
 #: only (one code of one bit, its sibling left unused as the format asks).
 DC_TABLE = ((0, 0, 6, 2, 1, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0), (0, 3, 4, 5, 6, 7, 2, 1, 8))
@@ -107,8 +109,9 @@ _TABLES = _huffman_segment(0x00, DC_TABLE) + _huffman_segment(0x10, AC_TABLE)
 
 
 def encode_all(payloads: list[bytes]) -> list[bytes]:
-    """Each payload (a positive multiple of 64 bytes) as baseline JPEG images. The rows of all are coded together."""
-    rows = _entropy_coded(np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, BLOCKS_A_ROW))
+    """Each payload (a positive multiple of 64 bytes) as baseline JPEG images. The rows of several are coded together."""
+    flat, step = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, BLOCKS_A_ROW), BYTES_AT_ONCE // BLOCKS_A_ROW
+    rows = [r for k in range(0, len(flat), step) for r in _entropy_coded(flat[k : k + step])]
     out, row = [], 0
     for payload in payloads:
         n, images = len(payload) // BLOCKS_A_ROW, []
@@ -340,8 +343,16 @@ def read_back(media: list[bytes]) -> list[tuple[bytes, list[tuple[int, int, np.n
             at = m.end
             images.append(m)
             owner.append(n)
+    thumbs: list[np.ndarray] = []
+    held: list[Image] = []
+    for m in images:
+        held.append(m)
+        if sum(x.width * x.height // 64 for x in held) >= BYTES_AT_ONCE:
+            thumbs += thumbnails(held)
+            held = []
+    thumbs += thumbnails(held)
     found: list[list] = [[] for _ in media]
-    for n, m, t in zip(owner, images, thumbnails(images), strict=True):
+    for n, m, t in zip(owner, images, thumbs, strict=True):
         found[n].append((m.width, m.height, t, m.comments))
     out = []
     for f in found:
@@ -370,10 +381,6 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw + b"\x00" * (-len(raw) % 64 if raw else 64)
 
 
-#: Payload bytes that are coded and decoded together.
-BYTES_AT_ONCE = 1 << 20
-
-
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes, media (the stored form) of each row."""
     kind = docs.schema[id_col].dataType.simpleString()
