@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructType
 
-from .common import free_name, materialize, short_batches, table, tidy
+from .common import free_name, matches, materialize, short_batches, table, tidy
 from .fm_index import FMIndex
 
 SHARD_WORDS, BLOCK_BYTES, BLOCKS_A_PASS = 2_000_000, 4 << 20, 4
@@ -62,8 +62,8 @@ class Phrases:
         self.shortest = int(self.lengths.min()) if found else 0
 
     def symbols(self, text: str | None) -> np.ndarray:
-        w = words_of(text)
-        return np.fromiter(map(self.vocabulary.get, w, repeat(0)), np.int32, len(w))
+        words = matches(_WORD, text.encode("utf-8", "surrogatepass").lower()) if text else ()
+        return np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int32)
 
 
 def _expand(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -127,7 +127,8 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def without(text: str, spans: list[tuple[int, int]]) -> str:
     """The text without the words of the spans and what stands between the words of a span."""
     raw = text.encode("utf-8", "surrogatepass")
-    at = [m.span() for m in _WORD.finditer(raw.lower())]
+    ends = {a for a, _ in spans} | {b - 1 for _, b in spans}
+    at = {k: m.span() for k, m in enumerate(_WORD.finditer(raw.lower())) if k in ends}
     out, last = [], 0
     for a, b in spans:
         out.append(raw[last : at[a][0]])
@@ -154,13 +155,16 @@ def _shards(batches: Iterator[pa.RecordBatch], at: int, phrases: Phrases):
         yield held, docs
 
 
-def _n_blocks(benchmark: DataFrame, text_col: str) -> int:
-    return -(-(benchmark.agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + 64)).first()[0] or 0) // BLOCK_BYTES)
+def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).alias("t")).distinct()
+
+
+def _n_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> int:
+    return -(-(_items(benchmark, id_col, text_col).agg(F.sum(F.coalesce(F.octet_length("t"), F.lit(0)) + 64)).first()[0] or 0) // BLOCK_BYTES)
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> Iterator[Phrases]:
-    rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).alias("t"))
-    n = _n_blocks(rows, "t")
+    rows, n = _items(benchmark, id_col, text_col), _n_blocks(benchmark, id_col, text_col)
     for k in range(n):
         yield Phrases([(r["i"], r["t"]) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()], window)
 
@@ -246,7 +250,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: st
 
         return df.mapInArrow(tidy(cleaned), schema)
 
-    if _n_blocks(benchmark, item_text) > 1:
+    if _n_blocks(benchmark, item_col, item_text) > 1:
         docs = _remove_in_rounds(docs, benchmark, window, text_col, item_col, item_text)
     else:
         for phrases in _blocks(benchmark, item_col, item_text, window):
