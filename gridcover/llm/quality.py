@@ -7,7 +7,7 @@ go. What remains is compiled into one column expression: scoring is a projection
 
 Learning takes at most about `fit_rows` labelled documents (those whose hash of the id is below a threshold set from the
 count of labels; the bound is a parameter), whose statistics alone come to the driver. Repeated labels of an id count as
-the larger one. Null texts count as empty. With no labels, or one class only, the score is the share of label 1, or 0.5.
+the larger one, and rows that agree in id and statistics are learned from once. Null texts count as empty. With no labels, or one class only, the score is the share of label 1, or 0.5.
 """
 
 from __future__ import annotations
@@ -169,7 +169,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, fit_rows: int = 12_000
     labels = labels.where(chance < min(1.0, fit_rows / max(1, n)))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(labels), "_id")
     stats = statistics(F.col("_t"))
-    got = rows.select(F.xxhash64(F.lit(seed + 1), "_id").alias("_o"), F.col("_y").cast("double"), *[v.cast("double").alias(k) for k, v in stats.items()]).toPandas()
+    got = rows.select(F.xxhash64(F.lit(seed + 1), "_id").alias("_o"), F.col("_y").cast("double"), *[v.cast("double").alias(k) for k, v in stats.items()]).distinct().toPandas()
     got = got.sort_values(["_o", *stats], kind="stable")
     return fit({k: got[k].to_numpy() for k in stats}, got["_y"].to_numpy())
 
