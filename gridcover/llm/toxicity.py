@@ -15,7 +15,7 @@ a document only sentences that no other one exceeds in everything matter; it sta
 sentence of each document anew. A logistic curve through the best sentences' values makes the score.
 
 Scoring: the value of a word, sum of beta_j K(word, landmark_j), is a sum over its subsequences of one table of weights,
-which is all that is broadcast (64 ** 3 numbers). Distinct words are valued in numpy and remembered, up to MEMORY of them; a text's
+which is all that is broadcast (64 ** 3 numbers). Distinct words are valued in numpy and remembered, up to MEMORY tokens; a text's
 value is that of its best sentence. A sentence ends at a line's end, and at . ! or ? before white space; a text without these is one
 sentence. Texts are mapped where they are read.
 
@@ -23,7 +23,8 @@ Learning takes at most about `fit_rows` labelled documents of each class (by a t
 a parameter); where a class is thinned, its rows weigh more in the curve, so that scores are shares among all labels. All words of the
 sample that are telling are witnesses. What else the machine is fitted to is bounded by parameters as well (`Sizes`): how many words of clean
 sentences, hard clean words and words of toxic documents found by the first machine, of how many witnesses there are variants,
-and how many landmarks there are; these are what makes the kernel matrix, words by landmarks. Null or empty texts get the lowest score. Repeated labels of an id count as the larger one. With no toxic
+and how many landmarks there are; these are what makes the kernel matrix, words by landmarks. Null or empty texts get the lowest score. Repeated labels of an id count as the larger one, and
+rows that agree in id and text are learned from once. With no toxic
 or no clean label to learn from, every score is the share of toxic labels (0 without labels).
 """
 
@@ -72,16 +73,37 @@ class Sizes:
 
 @cache
 def _positions() -> tuple[np.ndarray, np.ndarray]:
-    """Index triples within a piece and its two marks, and the weight of each by its span."""
+    """Index triples within a piece and its two marks, by where they end, and the weight of each by its span."""
     n = PIECE + 2
-    at = [(i, *rest) for i in range(n) for rest in combinations(range(i + 1, min(n, i + REACH)), ORDER - 1)]
+    at = sorted(((i, *rest) for i in range(n) for rest in combinations(range(i + 1, min(n, i + REACH)), ORDER - 1)), key=lambda t: t[-1])
     return np.array(at).T, np.array([DECAY ** (t[-1] - t[0] + 1) for t in at], np.float32)
 
 
-@cache
-def _letter(c: str) -> int:
-    o = ord(c)
-    return o - 96 if 97 <= o <= 122 else 27 + o % 36
+def _letters(words: list[str]) -> np.ndarray:
+    """The codes of the letters of words of one length, between marks."""
+    o = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32).reshape(len(words), -1)
+    return np.pad(np.where((o >= 97) & (o <= 122), o - 96, 27 + o % 36), ((0, 0), (1, 1)), constant_values=_MARK)
+
+
+class _Blanks(dict):
+    """A translation of all but letters to blanks, filled as characters come."""
+
+    def __missing__(self, o: int):
+        self[o] = o if chr(o).isalpha() else " "
+        return self[o]
+
+
+_BLANKS = _Blanks()
+
+
+def _words_of(token: str) -> list[str]:
+    """What a token as it stands in a text is read as: its letters as one word, and each stretch of letters, in pieces."""
+    low = token.lower()
+    if low.isalpha():
+        return [low] if len(low) <= PIECE else pieces(low)
+    parts = low.translate(_BLANKS).split()
+    forms = {*parts, "".join(parts)} - {""}
+    return [p for f in forms for p in pieces(f)]
 
 
 def pieces(word: str) -> list[str]:
@@ -94,7 +116,7 @@ def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Codes of the subsequences of each word (at most PIECE letters; 0 where there is none) and its factor."""
     chars = np.zeros((len(words), PIECE + 2), np.int32)
     for n, w in enumerate(words):
-        chars[n, : len(w) + 2] = (_MARK, *map(_letter, w), _MARK)
+        chars[n, : len(w) + 2] = _letters([w])[0]
     (i, j, k), weight = _positions()
     codes = (chars[:, i] * _LETTERS + chars[:, j]) * _LETTERS + chars[:, k]
     codes[chars[:, k] == 0] = 0
@@ -137,37 +159,38 @@ class Machine:
     constant: float | None = None
     pool: np.ndarray | None = None
     known: dict[str, float] = field(default_factory=dict)
+    worth: dict[str, float] = field(default_factory=dict)
 
     def __getstate__(self):
-        return self.__dict__ | {"known": {}}
+        return self.__dict__ | {"known": {}, "worth": {}}
+
+    def forget(self) -> None:
+        self.known.clear()
+        self.worth.clear()
 
     def values(self, words: list[str]) -> np.ndarray:
-        weight = _positions()[1]
+        """Words of one length go together, and only through the subsequences that fit into it."""
+        (i, j, k), weight = _positions()
+        size = np.fromiter(map(len, words), np.int64, len(words))
         out = np.zeros(len(words), np.float32)
-        for k in range(0, len(words), 1024):
-            c, s = subsequences(words[k : k + 1024])
-            out[k : k + 1024] = (self.table[c] * weight).sum(axis=1) * s  # row by row alike, whatever the batch
+        order = np.argsort(size, kind="stable")
+        ends = np.searchsorted(size[order], np.arange(PIECE + 2))
+        for n in range(1, PIECE + 1):
+            m = int(np.searchsorted(k, n + 2))
+            for at in range(ends[n], ends[n + 1], 2048):
+                rows = order[at : min(at + 2048, ends[n + 1])]
+                chars = _letters([words[r] for r in rows])
+                codes = (chars[:, i[:m]] * _LETTERS + chars[:, j[:m]]) * _LETTERS + chars[:, k[:m]]
+                out[rows] = (self.table[codes] * weight[:m]).sum(axis=1) * _scale()[n]  # row by row alike, whatever the batch
         return out + self.bias
 
     def learn_tokens(self, tokens: list[str]) -> None:
-        """Values for tokens as they stand in a text: of their letters as one word, and of each stretch of letters."""
-        words, owner = [], []
-        for n, t in enumerate(tokens):
-            low = t.lower()
-            if low.isalpha():
-                forms = {low}
-            else:
-                parts = "".join(c if c.isalpha() else " " for c in low).split()
-                forms = {*parts, "".join(parts)} - {""}
-            for f in forms:
-                for p in pieces(f):
-                    words.append(p)
-                    owner.append(n)
-        best = np.full(len(tokens), _LOWEST, np.float64)
-        if words:
-            distinct, at = np.unique(np.array(words, dtype=object), return_inverse=True)
-            np.maximum.at(best, np.array(owner), self.values(distinct.tolist())[at].astype(np.float64))
-        self.known.update(zip(tokens, best.tolist(), strict=True))
+        """Values for tokens as they stand in a text: the highest of the words that each is read as."""
+        forms = [_words_of(t) for t in tokens]
+        new = list(set(chain.from_iterable(forms)).difference(self.worth))
+        self.worth.update(zip(new, self.values(new).tolist(), strict=True))
+        worth = self.worth.__getitem__
+        self.known.update((t, max((_LOWEST, *map(worth, f)))) for t, f in zip(tokens, forms, strict=True))
 
     def sentences(self, texts: list[str | None]) -> tuple[list[list[list[str]]], np.ndarray, np.ndarray]:
         """The sentences of each text as lists of tokens, and of all sentences in a row the best word's value and the vector."""
@@ -175,7 +198,7 @@ class Machine:
         flat = list(chain.from_iterable(split))
         new = set().union(*flat).difference(self.known)
         if len(self.known) + len(new) > MEMORY:  # emptied before anything of these texts is looked up
-            self.known.clear()
+            self.forget()
             new = set().union(*flat)
         self.learn_tokens(list(new))
         sizes = np.array([len(q) for q in flat], np.int64)
@@ -351,7 +374,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: in
         return Machine(np.zeros(1, np.float32), constant=n[1] / (n[1] + n[0]))
     stands = np.array([n[0] / kept[0], n[1] / kept[1]])  # labels of its class that a sampled one stands for
     sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(labels), "_id").where("_t is not null")
-    sample = materialize(sample.select("_id", "_y", "_t"), "toxicity-sample")
+    sample = materialize(sample.select("_id", "_y", "_t").distinct(), "toxicity-sample")
     # a sentence of a clean document is clean wherever it stands; copies count once
     sentences = sample.select("_y", F.explode(F.split("_t", r"[.!?\n]+")).alias("s")).groupBy("s").agg(F.min("_y").alias("y"))
     words = sentences.select("y", F.explode(F.array_distinct(F.expr(r"regexp_extract_all(lower(s), '\\p{L}+', 0)"))).alias("w")).where("length(w) > 2")
@@ -402,7 +425,7 @@ def _best(sample: DataFrame, machine: Machine) -> DataFrame:
         for b in batches:
             got = _in_batches(b.column(1), shared.value)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v for v, _ in got], pa.float64()), pa.array([w for _, w in got], pa.string())], names=["_y", "v", "w"])
-        shared.value.known.clear()
+        shared.value.forget()
 
     return sample.select("_y", "_t").mapInArrow(tidy(valued), "_y int, v double, w string")
 
@@ -416,7 +439,7 @@ def _fronts(sample: DataFrame, machine: Machine) -> DataFrame:
         for b in batches:
             x = [f.ravel().tolist() for k in range(0, b.num_rows, 200) for f in shared.value.fronts(b.column(1).slice(k, 200).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], names=["_y", "x"])
-        shared.value.known.clear()
+        shared.value.forget()
 
     return sample.select("_y", "_t").mapInArrow(tidy(valued), "_y int, x array<double>")
 
