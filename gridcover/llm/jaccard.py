@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, free_name, materialize, release, short_batches, table, tidy
+from .common import discard, free_name, matches, materialize, release, short_batches, table, tidy
 from .components import components
 
 SHINGLE = 5
@@ -58,8 +58,8 @@ _ODD = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049B
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """The sorted distinct hashes of a text's shingles."""
-    words = _WORD.findall(text.encode("utf-8", "surrogatepass").lower()) if text else []
-    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    words = matches(_WORD, text.encode("utf-8", "surrogatepass").lower()) if text else ()
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64)
     if len(h) < size:
         return np.array([xxhash.xxh64_intdigest(h.tobytes(), seed=len(h))], np.uint64) if len(h) else h
     out = h[: len(h) - size + 1] * _ODD[0]

@@ -50,6 +50,19 @@ def test_proven_tokens_are_one_token():
     assert [c.count([t])[0] for t in ("unheard zzgrblx words qqwx", "more zzyzx", "again zzgrblx")] == [len(lib.encode(t).ids) for t in ("unheard zzgrblx words qqwx", "more zzyzx", "again zzgrblx")]
 
 
+def test_tokens_of_long_texts(monkeypatch):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [t for t in ODD if t] + ["It's <|endoftext|>  10 naïve\u2009words...\n\n " * 50, "日本 " * 300]
+    want = [len(e.ids) for e in lib.encode_batch(texts, add_special_tokens=False)]
+    c = tokens.Counter(lib, tokens.whole_tokens(lib))
+    assert c.count([None, *texts, ""]) == [0, *want, 0]
+    monkeypatch.setattr(tokens, "LONG", 1)
+    assert c.count([None, *texts, ""]) == [0, *want, 0]
+
+
 # -- 4
 
 
@@ -106,8 +119,9 @@ def shingle_set(text):
     return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
 
 
-@pytest.mark.parametrize("seed", [0, 1])
-def test_jaccard_against_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "group"), [(0, 500), (1, 500), (2, 7)])
+def test_jaccard_against_brute_force(spark, monkeypatch, seed, group):
+    monkeypatch.setattr(jaccard, "GROUP", group)
     r = random.Random(seed)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randrange(1, 5)))
     shared = [[word() for _ in range(12)] for _ in range(3)]
@@ -141,6 +155,13 @@ def test_jaccard_odd_tables(spark, odd_docs, no_docs):
     assert jaccard.join_components(no_docs).count() == 0 and jaccard.keep_one(no_docs).count() == 0
 
 
+def test_matches_of_long_texts():
+    from gridcover.llm.common import matches
+
+    for t in (b"", b" ", b"a bc  d\n"):
+        assert list(matches(jaccard._WORD, t)) == list(matches(jaccard._WORD, t, 0)) == t.split()
+
+
 def test_prefix_order():
     s = np.unique(np.random.default_rng(0).integers(0, 1 << 63, 50).astype(np.uint64))
     assert jaccard.prefix_length(5) == 2 and jaccard.prefix_length(1) == 1
@@ -190,9 +211,23 @@ def test_grams_of_a_text_do_not_depend_on_its_neighbours():
     a, _, _ = language.grams(["abc déf", "x", ""], 1 << 12)
     b, starts, letters = language.grams(["abc déf"], 1 << 12)
     assert (a[: len(b)] == b).all() and letters.tolist() == [6]
+    c, _, _ = language.grams(["x"], 1 << 12)
+    assert (a[len(b) : len(b) + len(c)] == c).all()
     assert language.score_texts(["A" * 10, None, "12"], ["p", "q"], np.zeros((1 << 12, 2), np.float32))[0] == ["p", "und", "und"]
 
 
+def test_long_texts_are_read_in_pieces(monkeypatch):
+    r = random.Random(6)
+    texts = ["".join(r.choice("aé bcß \n.1") for _ in range(n)) for n in (0, 1, 50, 400, 999)] + ["x" * 300, "7 " * 200 + "ab", "A b " * 90]
+    want = {k: np.sort(language.grams([t], 1 << 12)[0], axis=0) for k, t in enumerate(texts)}
+    monkeypatch.setattr(language, "CHARS_AT_ONCE", 64)
+    got: dict[int, list] = {}
+    for at, ids, starts, _ in language._grams(texts, 1 << 12):
+        for k, i, j in zip(at, starts, [*starts[1:], len(ids)]):
+            got.setdefault(int(k), []).append(ids[i:j])
+    assert len(got[4]) > 1 and all((np.sort(np.concatenate(got[k]), axis=0) == want[k]).all() for k in want)
+
+
 # -- 7
 
 
@@ -397,7 +432,7 @@ def slow_kernel(a, b):
     from itertools import combinations
 
     def features(w):
-        codes = [toxicity._MARK, *map(toxicity._letter, w), toxicity._MARK]
+        codes = [toxicity._MARK, *(ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % 36 for c in w), toxicity._MARK]
         out = {}
         for at in combinations(range(len(codes)), toxicity.ORDER):
             if at[-1] - at[0] < toxicity.REACH:
