@@ -1,5 +1,6 @@
 """GeoTIFF rasters as pixel tables: metadata and digest gates, and a reader for tiles or strips of 32-bit floats (uncompressed, LZW or
-deflate). Files are read as binary rows by Spark and decoded tile by tile where they land."""
+deflate). Spark reads files as binary rows; one task takes a file apart into tiles as they are stored, which are then dealt out, so that all
+executors decode, however few files there are."""
 
 from __future__ import annotations
 
@@ -104,55 +105,87 @@ def unpack_lzw(data: bytes) -> bytes:
     return b"".join(out)
 
 
-def tiles(data: bytes) -> Iterator[tuple[int, int, np.ndarray]]:
-    """x, y and samples of each tile or strip, cut to the image."""
+def stored_tiles(data: bytes) -> Iterator[dict]:
+    """Each tile or strip as it is stored, with its place, its shape as stored and as cut to the image, and how to decode it."""
     m = metadata(data)
     if m.get("bits_per_sample") != [32] or m["sample_format"] != [3] or m["samples_per_pixel"] != 1 or m["predictor"] != 1:
         raise ValueError("only single-band 32-bit floats without predictor are read")
+    if m["compression"] not in (1, 5, 8, 32946):
+        raise ValueError(f"compression {m['compression']} is not read")
     tiled = "tile_width" in m
     w, h = (m["tile_width"], m["tile_height"]) if tiled else (m["width"], m.get("rows_per_strip", m["height"]))
     across = -(-m["width"] // w)
     for k, (offset, size) in enumerate(zip(m["tile_offsets" if tiled else "strip_offsets"], m["tile_sizes" if tiled else "strip_sizes"], strict=True)):
-        raw, x, y = data[offset : offset + size], k % across * w, k // across * h
-        if m["compression"] == 5:
-            raw = unpack_lzw(raw)
-        elif m["compression"] in (8, 32946):
-            raw = zlib.decompress(raw)
-        elif m["compression"] != 1:
-            raise ValueError(f"compression {m['compression']} is not read")
-        rows = h if tiled else min(h, m["height"] - y)
-        values = np.frombuffer(raw, m["order"] + "f4")
-        if len(values) < w * rows:
-            raise ValueError("a tile is cut short")
-        yield x, y, values[: w * rows].reshape(rows, w)[: m["height"] - y, : m["width"] - x].astype(np.float32)
-
-
-def read(spark: SparkSession, path: str, expected: dict | None = None, sha256: str | None = None) -> DataFrame:
-    """pixel_x, pixel_y, population of the rasters under a path; the gates are optional."""
+        x, y = k % across * w, k // across * h
+        high = min(h, m["height"] - y)
+        yield {"x": x, "y": y, "w": w, "h": h if tiled else high, "wide": min(w, m["width"] - x), "high": high, "compression": m["compression"], "order": m["order"], "raw": data[offset : offset + size]}
+
+
+def samples(t: dict) -> np.ndarray:
+    """The samples of a stored tile, cut to the image."""
+    raw = t["raw"]
+    if t["compression"] == 5:
+        raw = unpack_lzw(raw)
+    elif t["compression"] != 1:
+        raw = zlib.decompress(raw)
+    if len(raw) < 4 * t["w"] * t["h"]:
+        raise ValueError("a tile is cut short")
+    return np.frombuffer(raw, t["order"] + "f4", t["w"] * t["h"]).reshape(t["h"], t["w"])[: t["high"], : t["wide"]].astype(np.float32)
+
+
+def tiles(data: bytes) -> Iterator[tuple[int, int, np.ndarray]]:
+    """x, y and samples of each tile or strip, cut to the image."""
+    for t in stored_tiles(data):
+        yield t["x"], t["y"], samples(t)
+
+
+_STORED = pa.schema([(k, pa.int32()) for k in ("x", "y", "w", "h", "wide", "high", "compression")] + [("order", pa.string()), ("raw", pa.binary())])
+
+
+def read(spark: SparkSession, path: str, expected: dict | None = None, sha256: str | None = None, partitions: int | None = None) -> DataFrame:
+    """pixel_x, pixel_y, population of the rasters under a path; the gates are optional. Tiles are decoded in `partitions` tasks (four a core
+    if not given); what is shuffled is their stored form."""
     files = spark.read.format("binaryFile").load(path).select("content")
     if sha256:
         files = require_digest(files, sha256)
 
-    def pixels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def taken_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for content in b.column(0):
                 data = content.as_py()
                 if expected is not None:
                     require_metadata(metadata(data), expected)
-                for x, y, v in tiles(data):
-                    yy, xx = np.mgrid[y : y + v.shape[0], x : x + v.shape[1]]
-                    yield pa.RecordBatch.from_arrays([pa.array(xx.ravel(), pa.int32()), pa.array(yy.ravel(), pa.int32()), pa.array(v.ravel(), pa.float32())], names=["pixel_x", "pixel_y", "population"])
+                for t in stored_tiles(data):
+                    yield pa.RecordBatch.from_pylist([t], schema=_STORED)
 
-    return files.mapInArrow(pixels, "pixel_x int, pixel_y int, population float")
-
-
-def write_mock(path: str, values: np.ndarray, compression: int = 1) -> None:
-    """A small raster of one strip, uncompressed or deflate, with the pinned raster's scale and corner."""
-    raw = values.astype("<f4").tobytes()
-    raw = zlib.compress(raw) if compression == 8 else raw
-    h, w = values.shape
-    extra = struct.pack("<3d", *EXPECTED["pixel_scale"]) + struct.pack("<6d", *EXPECTED["tiepoint"])
-    fields = [(256, 4, 1, w), (257, 4, 1, h), (258, 3, 1, 32), (259, 3, 1, compression), (262, 3, 1, 1), (273, 4, 1, 8), (277, 3, 1, 1), (278, 4, 1, h), (279, 4, 1, len(raw)), (339, 3, 1, 3), (33550, 12, 3, 8 + len(raw)), (33922, 12, 6, 8 + len(raw) + 24)]
-    body = b"".join(struct.pack("<HHI", t, k, n) + (struct.pack("<HH", v, 0) if k == 3 else struct.pack("<I", v)) for t, k, n, v in fields)
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                (t,) = b.slice(k, 1).to_pylist()
+                v = samples(t)
+                y, x = np.mgrid[t["y"] : t["y"] + v.shape[0], t["x"] : t["x"] + v.shape[1]]
+                yield pa.RecordBatch.from_arrays([pa.array(x.ravel(), pa.int32()), pa.array(y.ravel(), pa.int32()), pa.array(v.ravel(), pa.float32())], names=["pixel_x", "pixel_y", "population"])
+
+    stored = files.mapInArrow(taken_apart, "x int, y int, w int, h int, wide int, high int, compression int, order string, raw binary")
+    return stored.repartition(partitions or 4 * spark.sparkContext.defaultParallelism).mapInArrow(decoded, "pixel_x int, pixel_y int, population float")
+
+
+def write_mock(path: str, values: np.ndarray, compression: int = 1, tile: int | None = None) -> None:
+    """A small raster of one strip or of square tiles, uncompressed or deflate, with the pinned raster's scale and corner."""
+    (h, w), size = values.shape, tile or 0
+    if tile:
+        parts = [np.pad(values, ((0, -h % size), (0, -w % size)))[y : y + size, x : x + size] for y in range(0, h, size) for x in range(0, w, size)]
+    else:
+        parts = [values]
+    raws = [p.astype("<f4").tobytes() for p in parts]
+    raws = [zlib.compress(r) if compression == 8 else r for r in raws]
+    at = 8 + sum(map(len, raws))
+    n = len(raws)
+    starts = [8 + sum(map(len, raws[:k])) for k in range(n)]
+    extra = struct.pack("<3d", *EXPECTED["pixel_scale"]) + struct.pack("<6d", *EXPECTED["tiepoint"]) + struct.pack(f"<{n}I", *starts) + struct.pack(f"<{n}I", *map(len, raws))
+    where, sizes = (starts[0], len(raws[0])) if n == 1 else (at + 72, at + 72 + 4 * n)
+    cut = [(322, 4, 1, size), (323, 4, 1, size), (324, 4, n, where), (325, 4, n, sizes)] if tile else [(273, 4, 1, where), (278, 4, 1, h), (279, 4, 1, sizes)]
+    fields = sorted([(256, 4, 1, w), (257, 4, 1, h), (258, 3, 1, 32), (259, 3, 1, compression), (262, 3, 1, 1), (277, 3, 1, 1), (339, 3, 1, 3), (33550, 12, 3, at), (33922, 12, 6, at + 24), *cut])
+    body = b"".join(struct.pack("<HHI", t, k, c) + (struct.pack("<HH", v, 0) if k == 3 else struct.pack("<I", v)) for t, k, c, v in fields)
     with open(path, "wb") as f:
-        f.write(b"II*\0" + struct.pack("<I", 8 + len(raw) + len(extra)) + raw + extra + struct.pack("<H", len(fields)) + body + struct.pack("<I", 0))
+        f.write(b"II*\0" + struct.pack("<I", at + len(extra)) + b"".join(raws) + extra + struct.pack("<H", len(fields)) + body + struct.pack("<I", 0))

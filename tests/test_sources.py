@@ -73,6 +73,12 @@ def test_geotiff(spark, tmp_path):
         geotiff.write_mock(str(tmp_path / name), v, how)
         rows = geotiff.read(spark, str(tmp_path / name)).collect()
         assert {(r["pixel_x"], r["pixel_y"]): r["population"] for r in rows} == {(x, y): v[y, x] for y in range(3) for x in range(4)}
+    wide = np.arange(77, dtype=np.float32).reshape(7, 11)
+    geotiff.write_mock(str(tmp_path / "t.tif"), wide, 8, tile=4)
+    df = geotiff.read(spark, str(tmp_path / "t.tif"), partitions=5)
+    assert {(r["pixel_x"], r["pixel_y"]): r["population"] for r in df.collect()} == {(x, y): wide[y, x] for y in range(7) for x in range(11)}
+    assert df.rdd.getNumPartitions() == 5  # one file, decoded in many tasks
+    assert len(list(geotiff.tiles((tmp_path / "t.tif").read_bytes()))) == 6
     data = (tmp_path / "a.tif").read_bytes()
     m = geotiff.metadata(data)
     assert m["pixel_scale"] == geotiff.EXPECTED["pixel_scale"] and not geotiff.is_lzw(data)
