@@ -48,8 +48,8 @@ HOT, MOST_HOT, BITMAP_BITS, BROADCAST_IDS = 8, 1 << 19, 1 << 26, 200_000
 LEADER_FROM = 8
 #: How many of a class's first shingles of large lists look for a leader.
 LEADERS = 4
-#: Classes with one leader that are compared in one block.
-GROUP = 5000
+#: Classes with one leader in a block of those that are compared with another block.
+GROUP = 500
 #: The condition on two sizes and an overlap.
 LINKS = "180 * o >= 80 * (nx + ny)"
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -327,17 +327,22 @@ class Join:
 
     def bordering(self, near: DataFrame, led: DataFrame) -> DataFrame:
         """Pairs with one leader, of different components, that its answers don't rule out even without a common member outside of it. One of
-        them isn't of the leader's component; these few meet the others in blocks of GROUP, which the salt tells apart."""
+        them isn't of the leader's component; these few and the others are dealt out in blocks of about GROUP, and each block of
+        these meets each of the others in a task of its own."""
         root = led.withColumnRenamed("node", "c")
         t = near.select("c", "y", "n", "o", "r").join(root, "c", "left").withColumn("root", F.coalesce("root", "c"))
         t = t.join(root.select(F.col("c").alias("y"), F.col("root").alias("lead")), "y", "left").withColumn("lead", F.coalesce("lead", "y"))
-        edge = t.groupBy("y").agg(F.max("r").alias("most"), F.min("n").alias("least"), F.count("*").alias("k"))
-        t = t.join(edge, "y").where("9 * (o + r + most) >= 4 * (n + least)").withColumn("salts", F.ceil(F.col("k") / GROUP).cast("int"))
-        t = materialize(t.select("c", "y", "n", "o", "r", "root", "lead", "salts"), "jaccard-bordering")
-        a = t.where("root <> lead").select("y", F.pmod(F.xxhash64("c"), F.col("salts")).alias("salt"), *[F.col(k).alias(f"a_{k}") for k in ("c", "n", "o", "r", "root")])
-        b = t.select("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long") - 1)).alias("salt"), *[F.col(k).alias(f"b_{k}") for k in ("c", "n", "o", "r", "root", "lead")])
+        edge = t.groupBy("y").agg(F.max("r").alias("most"), F.min("n").alias("least"))
+        t = t.join(_few(materialize(edge, "jaccard-edges")), "y").where("9 * (o + r + most) >= 4 * (n + least)")
+        t = materialize(t.select("c", "y", "n", "o", "r", "root", "lead"), "jaccard-bordering")
+        blocks = t.groupBy("y").agg(F.ceil(F.count_if(F.col("root") != F.col("lead")) / GROUP).cast("int").alias("rows"), F.ceil(F.count("*") / GROUP).cast("int").alias("cols")).where("rows > 0")
+        t = t.join(_few(materialize(blocks, "jaccard-blocks")), "y")
+        deal = lambda n: F.pmod(F.xxhash64("c"), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        a = t.where("root <> lead").select("y", deal("rows").alias("row"), every("cols").alias("col"), *[F.col(k).alias(f"a_{k}") for k in ("c", "n", "o", "r", "root")])
+        b = t.select("y", every("rows").alias("row"), deal("cols").alias("col"), *[F.col(k).alias(f"b_{k}") for k in ("c", "n", "o", "r", "root", "lead")])
         most = F.expr("least(a_o, b_o) + a_r + b_r")
-        pairs = a.join(b, ["y", "salt"]).where("a_root <> b_root and (b_root = b_lead or a_c < b_c) and 5 * least(a_n, b_n) >= 4 * greatest(a_n, b_n)").where(9 * most >= 4 * (F.col("a_n") + F.col("b_n")))
+        pairs = a.join(b, ["y", "row", "col"]).where("a_root <> b_root and (b_root = b_lead or a_c < b_c) and 5 * least(a_n, b_n) >= 4 * greatest(a_n, b_n)").where(9 * most >= 4 * (F.col("a_n") + F.col("b_n")))
         swap = F.col("a_c") > F.col("b_c")
         pick = lambda k: (F.when(swap, F.col(f"b_{k}")).otherwise(F.col(f"a_{k}")), F.when(swap, F.col(f"a_{k}")).otherwise(F.col(f"b_{k}")))
         (x, y), (nx, ny) = pick("c"), pick("n")
