@@ -13,7 +13,9 @@ Sets: distinct hashes (64 bits) of all runs of SHINGLE words; a shorter text is
    shingles. Those that link with it form one component with it: pairs within are skipped from here on. For all of them,
    the leader's answers bound their own: two classes share at most the lesser of their overlaps with the leader plus
    what they share outside of it, which their prefixes tell.
-4. Inverted lists are sorted by size; for each member only the block of sizes that can link is visited, and members whose
+4. Shingles that stand in prefixes of one component only are dropped. Lists of more than SPLIT postings are split into blocks, so that no
+   task gathers one: the blocks of the list's largest component meet those of the other members, and these each other. Lists are
+   sorted by size; for each member only the block of sizes that can link is visited, and members whose
    positions, or whose leader's answers, rule out enough overlap are skipped. How often and how late a pair meets bounds its
    difference; pairs above that are dropped, then those whose whole prefixes differ too much. The remaining ones are
    checked on whole sets, each set's overlap derived from that of the set before it by their difference where both meet
@@ -21,7 +23,8 @@ Sets: distinct hashes (64 bits) of all runs of SHINGLE words; a shorter text is
 5. Links give components; each document gets its class's component, named by its smallest doc_id.
 
 No step holds a list of all documents in one task or on the driver; classes, prefixes and sets are tables in the shared
-folder. What is broadcast: hot shingles (MOST_HOT), the bit map (BITMAP_BITS), ids of classes to be read again
+folder. Counts of shingles are put together before they are shuffled. What is broadcast: hot shingles and split lists (MOST_HOT), the
+bit map (BITMAP_BITS), ids of classes to be read again
 while they are at most BROADCAST_IDS (else Spark joins by shuffle).
 
 Null or empty texts, or texts without words, have an empty set and link with nothing, not even with each other. Rows that
@@ -32,6 +35,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +48,8 @@ from .components import components
 
 SHINGLE = 5
 HOT, MOST_HOT, BITMAP_BITS, BROADCAST_IDS = 8, 1 << 19, 1 << 26, 200_000
+#: Postings of a list beyond which it is split into blocks of that many.
+SPLIT = 5000
 #: Lists this long get a leader.
 LEADER_FROM = 8
 #: How many of a class's first shingles of large lists look for a leader.
@@ -117,6 +123,62 @@ def _gathered(t: pa.Table, kinds: list) -> list[np.ndarray]:
     return [np.frombuffer(b"".join(t.column(f"c{k}").to_pylist()), kind) for k, kind in enumerate(kinds)]
 
 
+def _together(batches: Iterator[pa.RecordBatch], size: int = 8 << 20) -> Iterator[pa.Table]:
+    """Batches of about that many bytes put together, so that what is counted in them is few rows to shuffle."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.nbytes
+        if n >= size:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _totals(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of a bucket, and how often they were counted."""
+    tokens, n = _gathered(t, [np.uint64, np.uint8])
+    order = np.argsort(tokens)
+    tokens, n = tokens[order], n[order].astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+    return tokens[first], np.add.reduceat(n, first)
+
+
+@dataclass(frozen=True)
+class Splits:
+    """The lists that are split: shingle, the component with most of the postings, and how many blocks there are of it and of the others."""
+
+    tokens: np.ndarray
+    main: np.ndarray
+    blocks: np.ndarray
+    others: np.ndarray
+
+    def cells(self, tokens: np.ndarray, root: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For postings: which of them go where, as index, a name for the cell in the place of the shingle, and side. Blocks of the main
+        component meet the blocks of the others, and these each other; members of the main component needn't meet. Each pair of postings
+        meets in one cell; there, side 1 meets side 2, or all of side 0 each other."""
+        at = np.searchsorted(self.tokens, tokens)
+        at[at == len(self.tokens)] = 0
+        split = self.tokens[at] == tokens if len(self.tokens) else np.zeros(len(tokens), bool)
+        whole, some = np.flatnonzero(~split), np.flatnonzero(split)
+        at = at[some]
+        blocks, others, main = self.blocks[at], self.others[at], root[some] == self.main[at]
+        dealt = ((c[some].astype(np.uint64) * _ODD[0]) >> np.uint64(33)).astype(np.int64)
+        times = np.where(main, others, blocks + others)
+        index = np.repeat(some, times)
+        r = np.arange(len(index)) - np.repeat(np.cumsum(times) - times, times)
+        blocks, others, main, dealt = (np.repeat(v, times) for v in (blocks, others, main, dealt))
+        own, between = dealt % others, ~main & (r >= blocks)
+        j = r - blocks
+        kind = between.astype(np.int64)
+        a = np.where(main, dealt % blocks, np.where(between, np.minimum(own, j), r))
+        b = np.where(main, r, np.where(between, np.maximum(own, j), own))
+        side = np.where(main, 1, np.where(~between, 2, np.where(j == own, 0, np.where(own < j, 1, 2)))).astype(np.uint8)
+        name = (tokens[index] ^ ((kind << 62 | a << 31 | b).astype(np.uint64) * _ODD[3])) * _ODD[4]
+        return np.concatenate([whole, index]), np.concatenate([tokens[whole], name ^ (name >> np.uint64(29))]), np.concatenate([np.zeros(len(whole), np.uint8), side])
+
+
 class Join:
     """The steps over one table of documents."""
 
@@ -152,21 +214,22 @@ class Join:
     # -- counting what prefixes share
 
     def _tokens(self, pre: DataFrame) -> DataFrame:
+        """Shingles by bucket, with how often they stand in a few megabytes of prefixes (up to 255: counts only decide on costs beyond)."""
         buckets = self.buckets
 
         def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                tokens = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint64)
+            for t in _together(batches):
+                tokens, n = np.unique(np.frombuffer(b"".join(t.column(0).to_pylist()), np.uint64), return_counts=True)
                 if len(tokens):
-                    yield _dealt(_spots(tokens, buckets)[0], tokens)
+                    yield _dealt(_spots(tokens, buckets)[0], tokens, np.minimum(n, 255).astype(np.uint8))
 
-        return pre.select("pre").mapInArrow(tidy(dealt), "bucket long, c0 binary").groupBy("bucket")
+        return pre.select("pre").mapInArrow(tidy(dealt), "bucket long, c0 binary, c1 binary").groupBy("bucket")
 
     def _hot(self, pre: DataFrame) -> np.ndarray:
         least = self.hot_from
 
         def counted(t: pa.Table) -> pa.Table:
-            tokens, n = np.unique(_gathered(t, [np.uint64])[0], return_counts=True)
+            tokens, n = _totals(t)
             many = n > least
             return pa.table({"token": pa.array(tokens[many].view(np.int64)), "n": pa.array(n[many], pa.int64())})
 
@@ -190,21 +253,69 @@ class Join:
         """The bits of the shingles that two prefixes share, by bucket, and the shingles of large lists (the largest MOST_HOT / buckets
         of each bucket; which ones only decides who is compared with a leader first)."""
         buckets, least = self.buckets, LEADER_FROM - 1
-        width = -(-max(64, BITMAP_BITS // buckets) // 8)
+        marked = self._marked
 
         def counted(t: pa.Table) -> pa.Table:
-            tokens, n = np.unique(_gathered(t, [np.uint64])[0], return_counts=True)
-            flags = np.zeros(width * 8, np.uint8)
-            flags[_spots(tokens[n > 1], buckets)[1]] = 1
+            tokens, n = _totals(t)
             large = np.flatnonzero(n > least)
             large = large[np.lexsort((tokens[large], -n[large]))][: max(1, MOST_HOT // buckets)]
-            return pa.table({"bucket": t.column("bucket").slice(0, 1), "bits": pa.array([np.packbits(flags).tobytes()], pa.binary()), "large": pa.array([tokens[large].tobytes()], pa.binary())})
+            return pa.table({"bucket": t.column("bucket").slice(0, 1), "bits": pa.array([marked(buckets, tokens[n > 1])], pa.binary()), "large": pa.array([tokens[large].tobytes()], pa.binary())})
 
-        self.bits = np.zeros((buckets, width), np.uint8)
         got = self._tokens(self.pre).applyInArrow(counted, "bucket long, bits binary, large binary").toArrow()
+        self._bitmap(got)
+        self.large = np.sort(np.frombuffer(b"".join(got.column(2).to_pylist()), np.uint64))
+
+    @staticmethod
+    def _marked(buckets: int, tokens: np.ndarray) -> bytes:
+        """The bits of a bucket's part of the bit map for some of its shingles."""
+        flags = np.zeros(-(-max(64, BITMAP_BITS // buckets) // 8) * 8, np.uint8)
+        flags[_spots(tokens, buckets)[1]] = 1
+        return np.packbits(flags).tobytes()
+
+    def _bitmap(self, got: pa.Table) -> None:
+        self.bits = np.zeros((self.buckets, -(-max(64, BITMAP_BITS // self.buckets) // 8)), np.uint8)
         for b, raw in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True):
             self.bits[b] = np.frombuffer(raw, np.uint8)
-        self.large = np.sort(np.frombuffer(b"".join(got.column(2).to_pylist()), np.uint64))
+
+    def narrow(self, led: DataFrame) -> None:
+        """Leaves those bits whose shingles stand in prefixes of several components, and finds the lists that are split. Of a list, what is
+        shuffled are counts by component, put together before: no task sees its postings."""
+        buckets, marked, shared = self.buckets, self._marked, self.spark.sparkContext.broadcast(self.bits)
+
+        def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in _together(batches):
+                raw = t.column(1).to_pylist()
+                tokens = np.frombuffer(b"".join(raw), np.uint64)
+                root = np.repeat(t.column(0).to_numpy(), [len(x) // 8 for x in raw])
+                bucket, bit = _spots(tokens, buckets)
+                kept = np.flatnonzero(shared.value[bucket, bit >> 3] >> (7 - (bit & 7)) & 1)
+                if len(kept):
+                    tokens, root = tokens[kept], root[kept]
+                    order = np.lexsort((root, tokens))
+                    tokens, root = tokens[order], root[order]
+                    first = np.flatnonzero(np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (root[1:] != root[:-1])]))
+                    n = np.diff(np.append(first, len(tokens)))
+                    yield pa.RecordBatch.from_arrays([pa.array(tokens[first].view(np.int64)), pa.array(root[first], pa.int64()), pa.array(n, pa.int64())], names=["token", "root", "n"])
+
+        pre = self.pre.select("c", "pre").join(_few(led.withColumnRenamed("node", "c")), "c", "left").select(F.coalesce("root", "c").alias("root"), "pre")
+        lists = pre.mapInArrow(tidy(held), "token long, root long, n long").groupBy("token", "root").agg(F.sum("n").alias("n"))
+        lists = lists.groupBy("token").agg(F.sum("n").alias("n"), F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("top")).where("roots > 1")
+        lists = materialize(lists.select("token", "n", F.col("top.n").alias("most"), F.col("top.root").alias("main")), "jaccard-lists")
+
+        def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                tokens = b.column(0).to_numpy().view(np.uint64)
+                if len(tokens):
+                    yield _dealt(_spots(tokens, buckets)[0], tokens)
+
+        def mapped(t: pa.Table) -> pa.Table:
+            return pa.table({"bucket": t.column("bucket").slice(0, 1), "bits": pa.array([marked(buckets, _gathered(t, [np.uint64])[0])], pa.binary())})
+
+        self._bitmap(lists.select("token").mapInArrow(tidy(dealt), "bucket long, c0 binary").groupBy("bucket").applyInArrow(mapped, "bucket long, bits binary").toArrow())
+        long = lists.where(F.col("n") > SPLIT).orderBy(F.desc("n"), "token").limit(MOST_HOT).toArrow()
+        tokens, n, most, main = (x.to_numpy() for x in long.columns)
+        order = np.argsort(tokens.view(np.uint64))
+        self.splits = Splits(tokens.view(np.uint64)[order], main[order], -(-most[order] // SPLIT), np.maximum(1, -(-(n - most)[order] // SPLIT)))
 
     def settle(self) -> None:
         """Puts last all shingles that are common among classes whose prefixes open large lists, not only those that prefixes showed so far, and
@@ -355,7 +466,8 @@ class Join:
         hold, and what is in neither prefix. Lists of the leader's members skip such pairs; those that may be near enough without a
         common member outside of the leader come from `bordering`.
         """
-        buckets, shared = self.buckets, self.spark.sparkContext.broadcast(self.bits)
+        self.narrow(led)
+        buckets, shared, splits = self.buckets, self.spark.sparkContext.broadcast(self.bits), self.spark.sparkContext.broadcast(self.splits)
         pre = self.pre.select("c", "n", "pre").join(led.withColumnRenamed("node", "c"), "c", "left").join(near.drop("n"), "c", "left").select("c", "n", F.coalesce("root", "c").alias("root"), F.coalesce("y", F.lit(-1)).alias("y"), F.coalesce("o", F.lit(0)).alias("o"), F.coalesce("r", F.lit(0)).alias("r"), F.coalesce("flags", F.lit(b"")).alias("flags"), "pre")
 
         def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,9 +481,13 @@ class Join:
                 kept = np.flatnonzero(shared.value[bucket, bit >> 3] >> (7 - (bit & 7)) & 1)
                 if len(kept):
                     inside = np.concatenate([np.unpackbits(np.frombuffer(f, np.uint8))[:n] if f else np.zeros(n, np.uint8) for f, n in zip(b.column(6).to_pylist(), size.tolist(), strict=True)])
-                    o = owner[kept]
                     value = [b.column(k).to_numpy() for k in range(6)]
-                    yield _dealt(bucket[kept], tokens[kept], *(value[k][o].astype(kind) for k, kind in enumerate(_POSTING[1:7])), at[kept].astype(np.int32), inside[kept])
+                    index, name, side = splits.value.cells(tokens[kept], value[2][owner[kept]], value[0][owner[kept]])
+                    kept = kept[index]
+                    o = owner[kept]
+                    for k in range(0, len(kept), 1 << 18):
+                        part = slice(k, k + (1 << 18))
+                        yield _dealt(_spots(name[part], buckets)[0], name[part], *(value[k][o[part]].astype(kind) for k, kind in enumerate(_POSTING[1:7])), at[kept[part]].astype(np.int32), inside[kept[part]], side[part])
 
         columns = ", ".join(f"c{k} binary" for k in range(len(_POSTING)))
         met = pre.mapInArrow(tidy(dealt), f"bucket long, {columns}").groupBy("bucket").applyInArrow(_met, "x long, y long, nx int, ny int, k int, i int, j int, most int")
@@ -429,8 +545,8 @@ def _apart(a: np.ndarray, b: np.ndarray, hot: np.ndarray) -> int:
     return len(a) + len(b) - 2 * both
 
 
-#: A posting: shingle, class, size, component, leader, overlap with it, members in neither it nor the prefix, position, in the leader.
-_POSTING = [np.uint64, np.int64, np.int32, np.int64, np.int64, np.int32, np.int32, np.int32, np.uint8]
+#: A posting: shingle or cell, class, size, component, leader, overlap with it, members in neither it nor the prefix, position, in the leader, side.
+_POSTING = [np.uint64, np.int64, np.int32, np.int64, np.int64, np.int32, np.int32, np.int32, np.uint8, np.uint8]
 
 
 def _met(t: pa.Table) -> pa.Table:
@@ -438,7 +554,7 @@ def _met(t: pa.Table) -> pa.Table:
     most that they can share apart from that leader's non-members met here (else -1)."""
     columns = _gathered(t, _POSTING)
     order = np.lexsort((columns[2], columns[0]))
-    token, *rest, inside = (v[order] for v in columns)
+    token, *rest, inside, side = (v[order] for v in columns)
     c, n, root, lead, o, r, at = (v.astype(np.int64) for v in rest)
     first = np.flatnonzero(np.diff(token, prepend=~token[:1]) != 0)
     stop = np.append(first[1:], len(token))
@@ -475,7 +591,9 @@ def _met(t: pa.Table) -> pa.Table:
     led = np.flatnonzero((lead >= 0) & (inside == 1))
     owned, many = np.unique(np.stack([rank[led], lead[led]]), axis=1, return_counts=True)
     apart = np.unique(owned[0][many > 1])
-    plain = np.flatnonzero(~np.isin(rank, apart))
+    cross = np.unique(rank[side > 0])
+    apart = apart[~np.isin(apart, cross)]
+    plain = np.flatnonzero(~np.isin(rank, apart) & ~np.isin(rank, cross))
     if len(plain):
         scale = int(n.max()) * 2 + 2
         upto = np.searchsorted(rank * scale + n, rank * scale + np.minimum(n * 5 // 4, scale - 1), side="right")
@@ -492,6 +610,14 @@ def _met(t: pa.Table) -> pa.Table:
             between(rest, group)
             for other in groups[g + 1 :]:
                 between(group, other)
+    for k in cross:  # a cell of a split list: one side meets the other, but for members of one leader
+        members = np.arange(first[k], stop[k])
+        a, b = members[side[members] == 1], members[side[members] == 2]
+        la, lb = (np.where(inside[v] == 1, lead[v], -1) for v in (a, b))
+        both = np.intersect1d(la[la >= 0], lb[lb >= 0])
+        between(a[~np.isin(la, both)], b)
+        for leader in both:
+            between(a[la == leader], b[lb != leader])
     names, kinds = ("x", "y", "nx", "ny", "k", "i", "j", "most"), [pa.int64()] * 2 + [pa.int32()] * 6
     found = _summed(*(np.concatenate(p) for p in zip(*parts, strict=True))) if parts else (np.zeros(0, np.int64),) * 8
     return pa.table({name: pa.array(v, kind) for name, v, kind in zip(names, found, kinds, strict=True)})

@@ -119,9 +119,10 @@ def shingle_set(text):
     return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
 
 
-@pytest.mark.parametrize(("seed", "group"), [(0, 500), (1, 500), (2, 7)])
-def test_jaccard_against_brute_force(spark, monkeypatch, seed, group):
+@pytest.mark.parametrize(("seed", "group", "split"), [(0, 500, 5000), (1, 500, 6), (2, 7, 3)])
+def test_jaccard_against_brute_force(spark, monkeypatch, seed, group, split):
     monkeypatch.setattr(jaccard, "GROUP", group)
+    monkeypatch.setattr(jaccard, "SPLIT", split)
     r = random.Random(seed)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randrange(1, 5)))
     shared = [[word() for _ in range(12)] for _ in range(3)]
@@ -147,6 +148,24 @@ def test_jaccard_against_brute_force(spark, monkeypatch, seed, group):
     assert kept == {i for i in ids if want[i] == i}
 
 
+def test_each_pair_of_a_split_list_meets_once():
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        n, root = 40, rng.integers(0, 4, 40)
+        main = np.bincount(root).argmax()
+        s = jaccard.Splits(np.array([7], np.uint64), np.array([main]), np.array([rng.integers(1, 4)]), np.array([rng.integers(1, 5)]))
+        index, name, side = s.cells(np.where(np.arange(n) < 35, 7, 9).astype(np.uint64), root, rng.integers(0, 1 << 40, n))
+        met = {}
+        for cell in np.unique(name):
+            at = np.flatnonzero(name == cell)
+            for x in at:
+                for y in at:
+                    if index[x] < index[y] and (side[x] == side[y] == 0 or {side[x], side[y]} == {1, 2}):
+                        met[index[x], index[y]] = met.get((index[x], index[y]), 0) + 1
+        want = {(x, y) for x in range(n) for y in range(x + 1, n) if (x < 35) == (y < 35) and not (y < 35 and root[x] == root[y] == main)}
+        assert set(met) == want and set(met.values()) == {1}
+
+
 def test_jaccard_odd_tables(spark, odd_docs, no_docs):
     got = jaccard.join_components(odd_docs).collect()
     assert len(got) == 11 and {x["doc_id"]: x["component_id"] for x in got if x["doc_id"] is not None} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 6, 7: 7, 8: 8}
