@@ -104,3 +104,28 @@ def test_fixed_point(spark):
         with pytest.raises(Exception, match="invalid population"):
             df.select(fixedpoint.source_to_fixed("p")).collect()
     assert one(spark.createDataFrame([(2.0**42,)], "p float"), fixedpoint.to_fixed("p")) == [1 << 62]
+
+
+def test_sql_functions_say_the_same(spark):
+    from gridcover.functions import sql
+
+    sql.register(spark)
+    q = spark.range(400).select(cells.from_path(F.col("id") % 6, F.col("id") % 31, F.expr("(id * 7919 + 13) & (shiftleft(1L, cast(2 * (id % 31) as int)) - 1)")).alias("id"), (F.col("id") % 5).cast("int").alias("up"))
+    q = q.withColumn("at", F.greatest(F.lit(0), cells.level("id") - F.col("up")))
+    pairs = [
+        ("cell_face(id)", cells.face("id")), ("try_cell_level(id)", cells.try_level("id")), ("cell_level(id)", cells.level("id")), ("cell_ancestor(id, at)", cells.ancestor("id", F.col("at"))),
+        ("try_cell_ancestor(id, 31)", cells.try_ancestor("id", 31)), ("cell_child_index(id, at - 1)", F.when(F.col("at") > 0, cells.child_index("id", F.col("at") - 1))), ("cell_hex(id)", cells.hex_id("id")),
+        ("cell_range_low(id)", cells.cell_range("id")["lo"]), ("cell_range_high(id)", cells.cell_range("id")["hi"]), ("cell_to_compact(id)", cells.to_compact("id")), ("cell_face_root(cell_face(id))", cells.face_root(cells.face("id"))),
+        ("cell_from_compact(cell_to_compact(id))", cells.from_compact(cells.to_compact("id"))), ("compact_level(cell_to_compact(id))", cells.compact_level(cells.to_compact("id"))),
+        ("compact_ancestor(cell_to_compact(id), 0)", cells.compact_ancestor(cells.to_compact("id"), 0)), ("CASE WHEN cell_level(id) < 30 THEN cell_children(id) END", F.when(cells.level("id") < 30, cells.children(F.when(cells.level("id") < 30, F.col("id")).otherwise(F.lit(1 << 60))))),
+    ]
+    got = q.select(*[F.expr(s).eqNullSafe(c).alias(f"c{k}") for k, (s, c) in enumerate(pairs) if "child_index" not in s])
+    assert all(all(r) for r in got.collect())
+    deep = q.where("at > 0").select(F.expr("cell_child_index(id, at - 1)").eqNullSafe(cells.child_index("id", F.col("at") - 1)).alias("ok"))
+    assert all(r["ok"] for r in deep.collect())
+    bad = spark.sql("SELECT id, cell_is_valid(id) AS ok, try_cell_level(id) AS l FROM VALUES (0L), (-1L), (2L), (CAST(NULL AS BIGINT)), (-9223372036854775808L) AS t(id)").collect()
+    assert all(not r["ok"] and r["l"] is None for r in bad)
+    with pytest.raises(Exception, match="not a cell id"):
+        spark.sql("SELECT cell_level(2L)").collect()
+    with pytest.raises(Exception, match="no ancestor"):
+        spark.sql("SELECT cell_ancestor(cell_face_root(2), 1)").collect()
