@@ -97,11 +97,10 @@ _BLANKS = _Blanks()
 
 
 def _words_of(token: str) -> list[str]:
-    """What a token as it stands in a text is read as: its letters as one word, and each stretch of letters, in pieces."""
-    low = token.lower()
-    if low.isalpha():
-        return [low] if len(low) <= PIECE else pieces(low)
-    parts = low.translate(_BLANKS).split()
+    """What a token is read as: its letters as one word, and each stretch of letters, in pieces."""
+    if token.isalpha():
+        return pieces(token)
+    parts = token.translate(_BLANKS).split()
     forms = {*parts, "".join(parts)} - {""}
     return [p for f in forms for p in pieces(f)]
 
@@ -159,14 +158,9 @@ class Machine:
     constant: float | None = None
     pool: np.ndarray | None = None
     known: dict[str, float] = field(default_factory=dict)
-    worth: dict[str, float] = field(default_factory=dict)
 
     def __getstate__(self):
-        return self.__dict__ | {"known": {}, "worth": {}}
-
-    def forget(self) -> None:
-        self.known.clear()
-        self.worth.clear()
+        return self.__dict__ | {"known": {}}
 
     def values(self, words: list[str]) -> np.ndarray:
         """Words of one length go together, and only through the subsequences that fit into it."""
@@ -185,12 +179,12 @@ class Machine:
         return out + self.bias
 
     def learn_tokens(self, tokens: list[str]) -> None:
-        """Values for tokens as they stand in a text: the highest of the words that each is read as."""
-        forms = [_words_of(t) for t in tokens]
-        new = list(set(chain.from_iterable(forms)).difference(self.worth))
-        self.worth.update(zip(new, self.values(new).tolist(), strict=True))
-        worth = self.worth.__getitem__
-        self.known.update((t, max((_LOWEST, *map(worth, f)))) for t, f in zip(tokens, forms, strict=True))
+        """Values for tokens in lower case: the highest of the words that each is read as. These are remembered, too."""
+        odd = [(t, _words_of(t)) for t in tokens if len(t) > PIECE or not t.isalpha()]
+        new = list(set(tokens).difference(t for t, _ in odd).union(*(f for _, f in odd)).difference(self.known))
+        self.known.update(zip(new, np.maximum(self.values(new), _LOWEST).tolist(), strict=True))
+        value = self.known.__getitem__
+        self.known.update([(t, max((_LOWEST, *map(value, f)))) for t, f in odd])
 
     def sentences(self, texts: list[str | None]) -> tuple[list[list[list[str]]], np.ndarray, np.ndarray]:
         """The sentences of each text as lists of tokens, and of all sentences in a row the best word's value and the vector."""
@@ -198,7 +192,7 @@ class Machine:
         flat = list(chain.from_iterable(split))
         new = set().union(*flat).difference(self.known)
         if len(self.known) + len(new) > MEMORY:  # emptied before anything of these texts is looked up
-            self.forget()
+            self.known.clear()
             new = set().union(*flat)
         self.learn_tokens(list(new))
         sizes = np.array([len(q) for q in flat], np.int64)
@@ -247,8 +241,10 @@ class Machine:
 
 
 def _sentences(text: str) -> list[list[str]]:
-    """Tokens by sentence; letters that stand alone also as one word, before them."""
-    text = _SPACED.sub(lambda m: "".join(m.group().split()) + " " + m.group(), text)
+    """Tokens by sentence, in lower case; letters that stand alone also as one word, before them."""
+    text = _SPACED.sub(lambda m: "".join(m.group().split()) + " " + m.group(), text).lower()
+    for mark in ",;:":  # at a word's end they change nothing but how many tokens there are to value
+        text = text.replace(mark + " ", " ")
     return [tokens for s in _END.split(text) if (tokens := s.split())]
 
 
@@ -425,7 +421,7 @@ def _best(sample: DataFrame, machine: Machine) -> DataFrame:
         for b in batches:
             got = _in_batches(b.column(1), shared.value)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v for v, _ in got], pa.float64()), pa.array([w for _, w in got], pa.string())], names=["_y", "v", "w"])
-        shared.value.forget()
+        shared.value.known.clear()
 
     return sample.select("_y", "_t").mapInArrow(tidy(valued), "_y int, v double, w string")
 
@@ -439,7 +435,7 @@ def _fronts(sample: DataFrame, machine: Machine) -> DataFrame:
         for b in batches:
             x = [f.ravel().tolist() for k in range(0, b.num_rows, 200) for f in shared.value.fronts(b.column(1).slice(k, 200).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], names=["_y", "x"])
-        shared.value.forget()
+        shared.value.known.clear()
 
     return sample.select("_y", "_t").mapInArrow(tidy(valued), "_y int, x array<double>")
 
