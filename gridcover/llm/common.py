@@ -55,9 +55,10 @@ def discard(df: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Shuffle files go when the driver collects the garbage of their plans; in a long job that may be late."""
+    """Shuffle files go when the driver collects the garbage of their plans; in a long job that may be late. So does the driver's memory."""
     gc.collect()
     spark._jvm.System.gc()
+    trim()
 
 
 def short_batches(spark: SparkSession) -> None:

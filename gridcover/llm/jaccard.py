@@ -249,8 +249,8 @@ class Join:
         self.pre = materialize(pre.join(self.classes.select("c", "n", "fp"), "fp").select("c", "n", "pre"), "jaccard-prefixes")
         release(self.spark)
 
-    def count_lists(self) -> None:
-        """The bits of the shingles that two prefixes share, by bucket, and the shingles of large lists (the largest MOST_HOT / buckets
+    def count_lists(self, map_bits: bool = True) -> None:
+        """The bits of the shingles that two prefixes share, by bucket, if asked for, and the shingles of large lists (the largest MOST_HOT / buckets
         of each bucket; which ones only decides who is compared with a leader first)."""
         buckets, least = self.buckets, LEADER_FROM - 1
         marked = self._marked
@@ -259,10 +259,11 @@ class Join:
             tokens, n = _totals(t)
             large = np.flatnonzero(n > least)
             large = large[np.lexsort((tokens[large], -n[large]))][: max(1, MOST_HOT // buckets)]
-            return pa.table({"bucket": t.column("bucket").slice(0, 1), "bits": pa.array([marked(buckets, tokens[n > 1])], pa.binary()), "large": pa.array([tokens[large].tobytes()], pa.binary())})
+            return pa.table({"bucket": t.column("bucket").slice(0, 1), "bits": pa.array([marked(buckets, tokens[n > 1]) if map_bits else b""], pa.binary()), "large": pa.array([tokens[large].tobytes()], pa.binary())})
 
         got = self._tokens(self.pre).applyInArrow(counted, "bucket long, bits binary, large binary").toArrow()
-        self._bitmap(got)
+        if map_bits:
+            self._bitmap(got)
         self.large = np.sort(np.frombuffer(b"".join(got.column(2).to_pylist()), np.uint64))
 
     @staticmethod
@@ -316,11 +317,13 @@ class Join:
         tokens, n, most, main = (x.to_numpy() for x in long.columns)
         order = np.argsort(tokens.view(np.uint64))
         self.splits = Splits(tokens.view(np.uint64)[order], main[order], -(-most[order] // SPLIT), np.maximum(1, -(-(n - most)[order] // SPLIT)))
+        release(self.spark)
 
     def settle(self) -> None:
         """Puts last all shingles that are common among classes whose prefixes open large lists, not only those that prefixes showed so far, and
         takes the prefixes that this changes anew. Then classes near a common text begin with what is their own."""
         if not len(self.large):
+            self.count_lists()
             return
         late = self.spark.sparkContext.broadcast(np.union1d(self.large, self.hot))
         restless = materialize(self._opening(late), "jaccard-restless")
@@ -515,11 +518,13 @@ class Join:
 
     def labels(self) -> DataFrame:
         """node, root of classes in components of more than one."""
-        self.count_lists()
+        self.count_lists(map_bits=False)
         self.settle()
         near, led = self.led()
         release(self.spark)
-        found = materialize(self.links(materialize(self.candidates(near, led), "jaccard-candidates")), "jaccard-links")
+        found = materialize(self.candidates(near, led), "jaccard-candidates")
+        release(self.spark)
+        found = materialize(self.links(found), "jaccard-links")
         return components(found.unionByName(led.select(F.col("node").alias("x"), F.col("root").alias("y"))))
 
     def names(self) -> DataFrame:

@@ -9,7 +9,8 @@ divided by inclusion odds. The sample's size is fixed in words: documents are ta
 budget. One that would overrun it is passed over and the walk goes on behind it, until at most NEAR of the target is open or nothing fits.
 One more document, the one whose size closes the remaining gap best, is added when that brings the total nearer.
 
-Distribution: texts are read once into a narrow table (id, source, size, draw) in the shared folder. Sizes are classed by their
+Distribution: texts are read once into a narrow table (id, source, size, draw) in the shared folder, from which another one
+is made with the ranks. Sizes are classed by their
 power of two, told from their bits. Where a walk meets an overrunning document is found by counting words in about sqrt(n) rank buckets of
 a source, each for the same expected number of documents, then ordering the one bucket where the budget ends, so that no
 task sorts a source; each walk is a pass over the narrow table. All sums are pre-aggregated before the shuffle. Per-source
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, release, table
 
 #: Part of a source's target that may be left open before the last document is chosen.
 NEAR = 0.002
@@ -122,11 +123,13 @@ def mix(docs: DataFrame, weights=cycling_weights, seed: int = 7, max_copies: int
     d = d.withColumn("_q", F.when((F.col("_p") > 0) & (F.col("_n") > 0), F.col("_u") / (1 - F.col("_u")) * (1 - F.col("_p")) / F.col("_p")))
     # how many documents of the source are expected up to a rank, in buckets of its square root; each step of the sum grows with the rank
     ahead = F.aggregate("_odds", F.lit(0.0), lambda n, x: n + x["n"] / (1 + x["r"] / F.col("_q")))
-    d = d.withColumn("_b", F.when(F.col("_q").isNotNull(), F.floor(ahead / F.sqrt("_parts"))).cast("int")).select("_id", "_s", "_n", "_size", "_target", "_sure", "_q", "_b")
+    d = d.withColumn("_b", F.when(F.col("_q").isNotNull(), F.floor(ahead / F.sqrt("_parts"))).cast("int")).select("_id", "_s", "_n", "_sure", "_q", "_b")
+    d = materialize(d, "mix-ranks")
     ranked = d.where("_q is not null").select("_s", "_n", "_q", "_b")
     state = per_source.select("_s", "_target", F.col("_budget").alias("_gap"), F.lit(float("inf")).alias("_most"), F.lit(-1.0).alias("_after"), F.array().cast("array<struct<after:double,upto:double,most:double>>").alias("_steps"), F.lit(False).alias("_done"))
     state = _fill(ranked, state)
     while not state.where("not _done").isEmpty():
+        release(docs.sparkSession)
         state = _fill(ranked, state)
 
     # the document that closes the gap best
@@ -136,10 +139,11 @@ def mix(docs: DataFrame, weights=cycling_weights, seed: int = 7, max_copies: int
     best = left.groupBy("_s").agg(F.min(F.struct(F.abs(F.col("_n") - gap).alias("_off"), F.col("_q"))).alias("_c")).select("_s", F.col("_c._q").alias("_last"))
     alike = left.join(best, "_s").where("_q = _last").groupBy("_s", "_last").agg(F.sum("_n").alias("_w"), F.first(gap).alias("_gap"))
     alike = alike.where(F.abs(F.col("_w") - F.col("_gap")) < F.abs("_gap")).select("_s", "_last")
-    state = materialize(state.select("_s", "_steps").join(alike, "_s", "left"), "mix-last")
+    state = state.select("_s", "_target", "_steps").join(per_source.select("_s", "_size"), "_s").join(alike, "_s", "left")
+    state = materialize(state, "mix-last")
 
     chosen = F.col("_q").isNotNull() & (taken | F.coalesce(F.col("_q") == F.col("_last"), F.lit(False)))
-    out = d.join(state, "_s", "left").withColumn("_c", F.col("_sure") + F.when(chosen, 1).otherwise(0))
+    out = d.join(state, "_s").withColumn("_c", F.col("_sure") + F.when(chosen, 1).otherwise(0))
     return out.select(F.col("_id").alias(id_col), F.col("_n").alias("size"), F.col("_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_c") * F.col("_n")).alias("taken"), F.col("_c").cast("int").alias("copies"))
 
 

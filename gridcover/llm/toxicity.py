@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, materialize, short_batches, table, tidy
+from .common import held_out, materialize, release, short_batches, table, tidy
 
 ORDER, REACH, DECAY = 3, 6, 0.7
 #: Letters of a word that are looked at together; longer words are read in overlapping pieces.
@@ -405,6 +405,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: in
         fronts = [np.array(f).reshape(-1, TOP + 1) for f in got["x"]]
         machine.pool = fit_sentences(fronts, y)
         machine.slope, machine.shift = _curve(np.array([machine.pooled(f).max() for f in fronts]), y.astype(np.float64), stands[y])
+    release(sample.sparkSession)
     return machine
 
 
