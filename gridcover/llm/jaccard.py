@@ -56,6 +56,8 @@ LEADER_FROM = 8
 LEADERS = 4
 #: Classes with one leader in a block of those that are compared with another block.
 GROUP = 500
+#: Pairs that a task holds at once while it visits inverted lists; what it found so far goes on from there.
+PAIRS = 1 << 17
 #: The condition on two sizes and an overlap.
 LINKS = "180 * o >= 80 * (nx + ny)"
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -554,24 +556,30 @@ def _apart(a: np.ndarray, b: np.ndarray, hot: np.ndarray) -> int:
 _POSTING = [np.uint64, np.int64, np.int32, np.int64, np.int64, np.int32, np.int32, np.int32, np.uint8, np.uint8]
 
 
-def _met(t: pa.Table) -> pa.Table:
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of classes that meet in the lists of a bucket: sizes, how often, the last position in either, and for pairs with one leader the
-    most that they can share apart from that leader's non-members met here (else -1)."""
-    columns = _gathered(t, _POSTING)
+    most that they can share apart from that leader's non-members met here (else -1). Their number grows with the square of a list's
+    length, so that they leave in parts of about PAIRS; a pair may be in several."""
+    names, kinds = ("x", "y", "nx", "ny", "k", "i", "j", "most"), [pa.int64()] * 2 + [pa.int32()] * 6
+    for found in _summed_up(_meetings(_gathered(pa.Table.from_batches(batches), _POSTING))):
+        yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(found, kinds, strict=True)], names=names)
+
+
+def _meetings(columns: list[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
+    """The pairs of _met, a part of them at a time."""
     order = np.lexsort((columns[2], columns[0]))
     token, *rest, inside, side = (v[order] for v in columns)
     c, n, root, lead, o, r, at = (v.astype(np.int64) for v in rest)
     first = np.flatnonzero(np.diff(token, prepend=~token[:1]) != 0)
     stop = np.append(first[1:], len(token))
     rank = np.repeat(np.arange(len(first)), stop - first)
-    parts = []
 
-    def meet(a: np.ndarray, lo: np.ndarray, hi: np.ndarray, among: np.ndarray) -> None:
-        """Members a with those of `among` from lo to hi; about a million pairs at a time."""
+    def meet(a: np.ndarray, lo: np.ndarray, hi: np.ndarray, among: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Members a with those of `among` from lo to hi; about PAIRS at a time."""
         counts = np.maximum(hi - lo, 0)
         done, ends = 0, np.cumsum(counts)
         while done < len(a):
-            upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + 1_000_000, side="right")))
+            upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + PAIRS, side="right")))
             k = counts[done:upto]
             x = np.repeat(a[done:upto], k)
             y = among[np.arange(len(x)) - np.repeat(np.cumsum(k) - k - lo[done:upto], k)]
@@ -583,14 +591,14 @@ def _met(t: pa.Table) -> pa.Table:
             ok &= ~one | (inside[x] == 0)
             x, y, most = x[ok], y[ok], most[ok]
             x, y = np.where(c[x] > c[y], y, x), np.where(c[x] > c[y], x, y)
-            parts.append(_summed(c[x], c[y], n[x], n[y], np.ones(len(x), np.int64), at[x], at[y], most))
+            yield _summed(c[x], c[y], n[x], n[y], np.ones(len(x), np.int64), at[x], at[y], most)
 
-    def within(a: np.ndarray) -> None:
-        meet(a, np.arange(len(a)) + 1, np.searchsorted(n[a], n[a] * 5 // 4, side="right"), a)
+    def within(a: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        return meet(a, np.arange(len(a)) + 1, np.searchsorted(n[a], n[a] * 5 // 4, side="right"), a)
 
-    def between(a: np.ndarray, b: np.ndarray) -> None:
+    def between(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         if len(a) and len(b):
-            meet(a, np.searchsorted(n[b], -(-4 * n[a] // 5)), np.searchsorted(n[b], n[a] * 5 // 4, side="right"), b)
+            yield from meet(a, np.searchsorted(n[b], -(-4 * n[a] // 5)), np.searchsorted(n[b], n[a] * 5 // 4, side="right"), b)
 
     # lists that hold several members of one leader are taken apart; in the others, each member meets the block of later ones that are not too large
     led = np.flatnonzero((lead >= 0) & (inside == 1))
@@ -602,7 +610,7 @@ def _met(t: pa.Table) -> pa.Table:
     if len(plain):
         scale = int(n.max()) * 2 + 2
         upto = np.searchsorted(rank * scale + n, rank * scale + np.minimum(n * 5 // 4, scale - 1), side="right")
-        meet(plain, plain + 1, upto[plain], np.arange(len(token)))
+        yield from meet(plain, plain + 1, upto[plain], np.arange(len(token)))
     for k in apart:
         members = np.arange(first[k], stop[k])
         rest, groups = members, []
@@ -610,22 +618,35 @@ def _met(t: pa.Table) -> pa.Table:
             mine = (lead[rest] == leader) & (inside[rest] == 1)
             groups.append(rest[mine])
             rest = rest[~mine]
-        within(rest)
+        yield from within(rest)
         for g, group in enumerate(groups):
-            between(rest, group)
+            yield from between(rest, group)
             for other in groups[g + 1 :]:
-                between(group, other)
+                yield from between(group, other)
     for k in cross:  # a cell of a split list: one side meets the other, but for members of one leader
         members = np.arange(first[k], stop[k])
         a, b = members[side[members] == 1], members[side[members] == 2]
         la, lb = (np.where(inside[v] == 1, lead[v], -1) for v in (a, b))
         both = np.intersect1d(la[la >= 0], lb[lb >= 0])
-        between(a[~np.isin(la, both)], b)
+        yield from between(a[~np.isin(la, both)], b)
         for leader in both:
-            between(a[la == leader], b[lb != leader])
-    names, kinds = ("x", "y", "nx", "ny", "k", "i", "j", "most"), [pa.int64()] * 2 + [pa.int32()] * 6
-    found = _summed(*(np.concatenate(p) for p in zip(*parts, strict=True))) if parts else (np.zeros(0, np.int64),) * 8
-    return pa.table({name: pa.array(v, kind) for name, v, kind in zip(names, found, kinds, strict=True)})
+            yield from between(a[la == leader], b[lb != leader])
+
+
+def _summed_up(parts: Iterator[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Parts put together while that makes them fewer: at most about twice PAIRS are held."""
+    held, n = [], 0
+    for part in parts:
+        held.append(part)
+        n += len(part[0])
+        if n >= PAIRS:
+            part = _summed(*(np.concatenate(p) for p in zip(*held, strict=True)))
+            held, n = [part], len(part[0])
+            if n > PAIRS // 2:
+                yield part
+                held, n = [], 0
+    if n:
+        yield _summed(*(np.concatenate(p) for p in zip(*held, strict=True)))
 
 
 def _summed(x, y, nx, ny, k, i, j, most):

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,6 +167,32 @@ def test_each_pair_of_a_split_list_meets_once():
         assert set(met) == want and set(met.values()) == {1}
 
 
+def test_pairs_of_a_long_list_leave_in_parts():
+    import tracemalloc
+
+    def bucket(n, lists):  # all members have one size, no leader and components of their own, so that no pair is ruled out
+        zero = np.zeros(n * lists, np.int64)
+        c = np.tile(np.arange(n), lists)
+        values = [np.repeat(np.arange(lists), n) + 5, c, zero + 100, c, zero - 1, zero, zero, zero + np.repeat(np.arange(lists), n), zero, zero]
+        return pa.RecordBatch.from_arrays([pa.array([v.astype(kind).tobytes()], pa.binary()) for v, kind in zip(values, jaccard._POSTING, strict=True)], names=[f"c{k}" for k in range(len(values))])
+
+    b = bucket(1700, 1)
+    tracemalloc.start()
+    pairs, largest = 0, 0
+    for part in jaccard._met(iter([b])):
+        pairs, largest = pairs + part.num_rows, max(largest, part.num_rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert pairs == 1700 * 1699 // 2 and largest <= 2 * jaccard.PAIRS and peak < 100 << 20  # all at once, as 8 columns of longs, are 92 MB, which were held several times
+    # pairs that meet in several lists keep their counts and last positions, in however many parts
+    total = {}
+    for part in jaccard._met(iter([bucket(900, 3)])):
+        for x, y, k, i in zip(*(part.column(name).to_pylist() for name in ("x", "y", "k", "i")), strict=True):
+            had = total.get((x, y), (0, -1))
+            total[x, y] = (had[0] + k, max(had[1], i))
+    assert len(total) == 900 * 899 // 2 and set(total.values()) == {(3, 2)}
+
+
 def test_jaccard_odd_tables(spark, odd_docs, no_docs):
     got = jaccard.join_components(odd_docs).collect()
     assert len(got) == 11 and {x["doc_id"]: x["component_id"] for x in got if x["doc_id"] is not None} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 6, 7: 7, 8: 8}
