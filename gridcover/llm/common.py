@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
 import os
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..stored import materialize, shared_dir  # noqa: F401
+
 #: Rows and bytes handed to a Python worker at once. Texts differ in length by orders of magnitude, so batches are kept short.
 ARROW_ROWS, ARROW_BYTES = 2000, 16 << 20
 #: Characters from which a text is read piece by piece, where its words or tokens as a list would take much memory.
@@ -25,27 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; one of our own only where none is configured."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        own = tempfile.mkdtemp(prefix="gridcover-")
-        atexit.register(shutil.rmtree, own, True)
-        found = "file://" + own
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read back. A lost executor loses none of it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    return out
-
-
 def discard(df: DataFrame) -> None:
     """Delete a table that materialize wrote and nothing reads any more, and let Spark delete shuffle files of finished steps."""
     jvm = df.sparkSession._jvm

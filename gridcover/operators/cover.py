@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from ..functions import cells, fixedpoint
 from .rollup import cell12_population, roll_up
 
+#: Levels up to this one have at most 24,576 nodes.
+BROADCAST_LEVEL = 6
+
 
 def tree(population: DataFrame, threshold: int = fixedpoint.THRESHOLD) -> DataFrame:
     """level, compact of the cells that reach the threshold. Must see all levels: small cells count in their ancestors."""
@@ -24,7 +27,7 @@ def parents(members: DataFrame) -> DataFrame:
 
 def leaves(members: DataFrame) -> DataFrame:
     """compact, level of the members without a child among the members."""
-    return members.join(parents(members), ["level", "compact"], "left_anti").select("compact", "level")
+    return _with_masks(members).where("mask = 0").select("compact", "level")
 
 
 def closure(leaf_cells: DataFrame) -> DataFrame:
@@ -35,9 +38,18 @@ def closure(leaf_cells: DataFrame) -> DataFrame:
 
 def child_masks(members: DataFrame) -> DataFrame:
     """level, compact, mask: bit k stands for child k. Members at level 12 have none."""
-    up = members.where("level > 0").select((F.col("level") - 1).alias("level"), cells.compact_ancestor("compact", F.col("level") - 1).alias("compact"), cells.shl(F.lit(1), cells.compact_child("compact", F.col("level") - 1)).alias("bit"))
-    masks = up.groupBy("level", "compact").agg(F.bit_or("bit").alias("mask"))
-    return members.where("level < 12").join(masks, ["level", "compact"], "left").select("level", "compact", F.coalesce("mask", F.lit(0)).alias("mask"))
+    return _with_masks(members).where("level < 12")
+
+
+def _with_masks(members: DataFrame) -> DataFrame:
+    """level, compact, mask of all members. Each brings its bit to its parent: one pass and one shuffle instead of a join, so that what is
+    behind members is computed once and nothing is sent to the driver. Repeated members stay repeated."""
+    at, up = F.col("level"), F.col("level") - 1
+    own = F.struct(at.alias("level"), F.col("compact"), F.lit(0).alias("bit"), F.lit(1).alias("own"))
+    parent = F.struct(up.alias("level"), cells.compact_ancestor("compact", up).alias("compact"), cells.shl(F.lit(1), cells.compact_child("compact", up)).alias("bit"), F.lit(0).alias("own"))
+    rows = members.select(F.explode(F.when(at > 0, F.array(own, parent)).otherwise(F.array(own))).alias("_m")).select("_m.*")
+    masks = rows.groupBy("level", "compact").agg(F.bit_or("bit").alias("mask"), F.sum("own").cast("int").alias("_n")).where("_n > 0")
+    return masks.select("level", "compact", "mask", F.explode(F.array_repeat(F.lit(0), F.col("_n")))).drop("col")
 
 
 def nodes(members: DataFrame) -> DataFrame:
@@ -46,8 +58,7 @@ def nodes(members: DataFrame) -> DataFrame:
     Positions in a level are running counts. They are taken within (level, face, upper path) blocks first and then shifted by the
     sums of the blocks before, so that no task orders a whole level.
     """
-    m = child_masks(members).unionByName(members.where("level = 12").select("level", "compact", F.lit(0).alias("mask")))
-    m = m.withColumn("_block", cells.shr(F.col("compact"), 15)).withColumn("_kids", F.bit_count("mask"))
+    m = _with_masks(members).withColumn("_block", cells.shr(F.col("compact"), 15)).withColumn("_kids", F.bit_count("mask"))
     sums = m.groupBy("level", "_block").agg(F.count("*").alias("_n"), F.sum("_kids").alias("_k"))
     before = Window.partitionBy("level").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("level", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_k0"))
@@ -75,22 +86,26 @@ def mask_and_rank(node_table: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def reconstruct(node_table: DataFrame) -> DataFrame:
-    """compact, level of the leaves, from masks and ranks alone: twelve joins from a level's nodes to their children's positions."""
+    """compact, level of the leaves, from masks and ranks alone: twelve joins from a level's nodes to their children's positions.
+
+    They form one chain, which leaves that are found go through as they are: with a branch for each level, level l would be computed anew
+    for each level below. Levels of at most 6 * 4^6 nodes are broadcast, others never are. node_table is read twelve times: keep it.
+    """
     spark = node_table.sparkSession
     n = node_table.select("level", "node_index", "mask", "child_rank")
     at = spark.range(6).select(F.lit(0).alias("level"), F.col("id").alias("node_index"), cells.shl(F.col("id").cast("int"), 25).bitwiseOR(F.lit(1 << 24)).alias("compact"))
-    out = None
     for level in range(cells.MAX_COVER_LEVEL):
-        here = at.join(n.where(F.col("level") == level), ["level", "node_index"])
-        ends = here.where("mask = 0").select("compact", "level")
-        out = ends if out is None else out.unionByName(ends)
-        marker = 24 - 2 * level
-        kids = here.where("mask <> 0").select("compact", "mask", "child_rank", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
-        kids = kids.where(cells.shr(F.col("mask"), F.col("k")).bitwiseAND(F.lit(1)) == 1)
+        here = n.where(F.col("level") == level)
+        here = at.join(F.broadcast(here) if level <= BROADCAST_LEVEL else here.hint("merge"), ["level", "node_index"], "left").where((F.col("level") < level) | F.col("mask").isNotNull())
+        ends = F.coalesce("mask", F.lit(0)) == 0
+        here = here.select("level", "node_index", "compact", "mask", "child_rank", F.explode(F.when(ends, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.lit(3)))).alias("k"))
+        kid = F.col("k") >= 0
+        here = here.where(~kid | (cells.shr(F.col("mask"), F.greatest("k", F.lit(0))).bitwiseAND(F.lit(1)) == 1))
         before = F.bit_count(F.col("mask").bitwiseAND(cells.shl(F.lit(1), F.col("k")) - 1))
+        marker = 24 - 2 * level
         compact = F.col("compact").bitwiseXOR(F.lit(1 << marker)).bitwiseOR(cells.shl(F.col("k"), marker - 1)).bitwiseOR(F.lit(1 << marker - 2))
-        at = kids.select(F.lit(level + 1).alias("level"), (F.col("child_rank") + before).alias("node_index"), compact.alias("compact"))
-    return out.unionByName(at.select("compact", "level"))
+        at = here.select(*[F.when(kid, down).otherwise(F.col(c)).alias(c) for c, down in (("level", F.lit(level + 1)), ("node_index", F.col("child_rank") + before), ("compact", compact))])
+    return at.select("compact", "level")
 
 
 def mask_level_totals(node_table: DataFrame) -> DataFrame:

@@ -35,8 +35,12 @@ def mismatches(queries: DataFrame, members: DataFrame, id_col: str) -> DataFrame
 
 def set_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     """side, n: how many rows are in one of two tables only."""
-    only = lambda a, b, side: a.exceptAll(b).agg(F.count("*").alias("n")).select(F.lit(side).alias("side"), "n")
-    return only(left, right, "left").unionByName(only(right, left, "right"))
+    names = [f"_{k}" for k in range(len(left.columns))]
+    rows = left.toDF(*names).withColumn("_n", F.lit(1)).union(right.toDF(*names).withColumn("_n", F.lit(-1)))
+    more = rows.groupBy(*names).agg(F.sum("_n").alias("_n"))  # rows are read once: each counts for its side
+    total = lambda n: F.coalesce(F.sum(F.greatest(n, F.lit(0))), F.lit(0)).cast("long")
+    sides = more.agg(total(F.col("_n")).alias("l"), total(-F.col("_n")).alias("r"))
+    return sides.select(F.inline(F.array(F.struct(F.lit("left").alias("side"), F.col("l").alias("n")), F.struct(F.lit("right").alias("side"), F.col("r").alias("n")))))
 
 
 def checksum(answers: DataFrame) -> DataFrame:

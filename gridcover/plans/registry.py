@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import cells, fixedpoint, projection
 from ..operators import checks, cover, lookup, rollup, verify, workload
 from ..sources import pixels
+from ..stored import materialize
 from . import oracles
 
 
@@ -117,8 +118,8 @@ def overlap_check(spark, d):
 
 def leaf_set_difference(spark, d):
     """Leaves against those that are rebuilt from the masks of the nodes."""
-    tree = _tree(spark, d).persist()
-    return verify.set_difference(cover.leaves(tree).select("compact"), cover.reconstruct(cover.nodes(tree).persist()).select("compact"))
+    tree = materialize(_tree(spark, d), "tree")
+    return verify.set_difference(cover.leaves(tree).select("compact"), cover.reconstruct(materialize(cover.nodes(tree), "nodes")).select("compact"))
 
 
 def oracle_mismatch_count(spark, d):

@@ -62,6 +62,25 @@ def test_reconstruction(spark, tree):
     assert got[0]["child_rank"] == 0 and got[1]["mask"] is None
 
 
+def test_masks_read_members_once(spark):
+    twice, lone = anc(1, 1), anc(0x05000001, 3)
+    df = frame(spark, [anc(1, 0), twice, twice, 0x03000000, lone])
+    assert sorted(r["compact"] for r in cover.leaves(df).collect()) == sorted([twice, twice, 0x03000000, lone])
+    assert {r["compact"]: r["mask"] for r in cover.child_masks(df).collect()} == {anc(1, 0): 1, twice: 0, 0x03000000: 0, lone: 0}
+    for got in (cover.leaves(df), cover.child_masks(df)):
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+
+
+def test_set_difference_counts_repeats(spark):
+    a = spark.createDataFrame([(1,), (1,), (2,), (None,)], "x int")
+    b = spark.createDataFrame([(1,), (3,), (3,), (None,), (None,)], "y long")
+    d = verify.set_difference(a, b)
+    assert {r["side"]: r["n"] for r in d.collect()} == {"left": 2, "right": 3}
+    assert "Except" not in d._jdf.queryExecution().analyzed().toString()
+    assert [tuple(r) for r in verify.set_difference(a.limit(0), a.limit(0)).orderBy("side").collect()] == [("left", 0), ("right", 0)]
+
+
 def test_tiles_cover_everything(spark, tree):
     t = sorted((r["lo"], r["hi"]) for r in cover.tiles(tree[1]).collect())
     assert t[0][0] == 0 and t[-1][1] == 6 << 25 and all(a[1] == b[0] for a, b in zip(t, t[1:]))
