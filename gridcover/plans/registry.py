@@ -142,7 +142,7 @@ def queries() -> dict:
         "populated_cells_per_level": lambda spark, d: rollup.cells_per_level(_population(spark, d)),
         "qualifying_tree": _tree,
         "leaf_cells": tree(cover.leaves),
-        "reconstructed_leaves": lambda spark, d: cover.reconstruct(cover.nodes(_tree(spark, d)).persist()),
+        "reconstructed_leaves": lambda spark, d: cover.reconstruct(materialize(cover.nodes(_tree(spark, d)), "nodes")),
         "leaf_level_histogram": tree(lambda t: cover.level_histogram(cover.leaves(t))),
         "leaf_histogram_text": tree(lambda t: cover.format_histogram(cover.leaves(t))),
         "leaf_closure": tree(lambda t: cover.closure(cover.leaves(t))),

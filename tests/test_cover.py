@@ -62,6 +62,19 @@ def test_reconstruction(spark, tree):
     assert got[0]["child_rank"] == 0 and got[1]["mask"] is None
 
 
+def test_reconstruction_is_one_chain(spark, tree):
+    """Twelve joins, of which only those of the bounded levels may be broadcast; nothing is read anew for each level below."""
+    members, df = tree
+    n = cover.nodes(df).persist()
+    qe = cover.reconstruct(n)._jdf.queryExecution()
+    assert qe.analyzed().toString().count("Join LeftOuter") == 12
+    assert qe.sparkPlan().toString().count("SortMergeJoin") == 12 - cover.BROADCAST_LEVEL - 1
+    assert {r["compact"] for r in cover.reconstruct(n.where("level < 12")).collect()} == {r["compact"] for r in cover.leaves(df).collect()}
+    assert cover.reconstruct(n.where("level < 0")).count() == 0
+    gone = cover.reconstruct(n.where("level <> 5"))  # leaves above are kept, what is below can't be reached
+    assert {r["compact"] for r in gone.collect()} == {r["compact"] for r in cover.leaves(df).where("level < 5").collect()}
+
+
 def test_masks_read_members_once(spark):
     twice, lone = anc(1, 1), anc(0x05000001, 3)
     df = frame(spark, [anc(1, 0), twice, twice, 0x03000000, lone])
