@@ -94,17 +94,19 @@ def by_neighbours(queries: DataFrame, leaf_cells: DataFrame, compact: str = "com
     """The same from leaves alone: the leaf before and the leaf from a query on, along the curve, and the deeper common ancestor.
 
     Rows are dealt out by the ancestor at block_level; the last leaf before a block and the first one after it are carried over from
-    the table of blocks, so that no face is in one task.
+    the table of blocks, so that no face is in one task. Within a block, the leaf from a query on is taken in the order from its end: a frame
+    that reaches forward to the end is computed anew for each row, in the square of the block's rows.
     """
     block = cells.shr(cells.col("_c"), 25 - 2 * block_level)
     q = queries.select(F.col(compact).alias("_c")).distinct().select("_c", F.lit(None).cast("int").alias("_leaf"), F.lit(0).alias("_kind"))
     rows = q.unionByName(leaf_cells.select(F.col("compact").alias("_c"), F.col("compact").alias("_leaf"), F.lit(1).alias("_kind")))
     rows = rows.withColumn("_block", block)
-    ends = rows.groupBy("_block").agg(F.max("_leaf").alias("_hi"), F.min("_leaf").alias("_lo"))
+    ends = queries.select(F.col(compact).alias("_c"), F.lit(None).cast("int").alias("_leaf")).unionByName(leaf_cells.select(F.col("compact").alias("_c"), F.col("compact").alias("_leaf")))
+    ends = ends.groupBy(block.alias("_block")).agg(F.max("_leaf").alias("_hi"), F.min("_leaf").alias("_lo"))
     whole = Window.partitionBy(F.shiftright("_block", 2 * block_level)).orderBy("_block")
     ends = ends.select("_block", F.max("_hi").over(whole.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.min("_lo").over(whole.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
-    order = Window.partitionBy("_block").orderBy("_c", "_kind")
-    rows = rows.withColumn("_p", F.last("_leaf", True).over(order.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_s", F.first("_leaf", True).over(order.rowsBetween(0, Window.unboundedFollowing)))
+    order, back = Window.partitionBy("_block").orderBy("_c", "_kind"), Window.partitionBy("_block").orderBy(F.desc("_c"), F.desc("_kind"))
+    rows = rows.withColumn("_p", F.last("_leaf", True).over(order.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_s", F.last("_leaf", True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.where("_kind = 0").join(ends, "_block").withColumn("_p", F.coalesce("_p", "_before")).withColumn("_s", F.coalesce("_s", "_after"))
     level = F.greatest(*[F.coalesce(_shared(F.col("_c"), F.col(k)), F.lit(0)) for k in ("_p", "_s")])
     hit = rows.select(F.col("_c").alias("_q"), level.alias("answer_level")).withColumn("answer", cells.compact_ancestor("_q", F.col("answer_level")))

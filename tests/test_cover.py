@@ -131,6 +131,18 @@ def test_lookups_whatever_is_broadcast(spark, tree, monkeypatch, most):
         assert ("Exchange hashpartitioning" in plan) == (most == 0)
 
 
+def test_neighbours_in_one_large_block(spark):
+    """30,000 queries between 30,000 leaves of one block: no frame reaches forward to its end, which would take their product."""
+    leaf = spark.range(30_000).select((1 + 4 * F.col("id")).cast("int").alias("compact"))
+    q = spark.range(30_000).select("id", (1 + 2 * F.col("id") + F.when(F.col("id") % 3 == 0, 2).otherwise(0)).cast("int").alias("compact"))
+    got = lookup.by_neighbours(q, leaf)
+    windows = [x for x in got._jdf.queryExecution().analyzed().toString().splitlines() if "Window [" in x and "_leaf" in x]
+    assert len(windows) == 2 and not any("unboundedfollowing" in x for x in windows)
+    members = {anc(1 + 4 * k, l) for k in range(30_000) for l in range(13)}
+    want = {(k, c): max((l for l in range(13) if anc(c, l) in members)) for k in range(0, 30_000, 97) for c in [1 + 2 * k + 2 * (k % 3 == 0)]}
+    assert {(r["id"], r["compact"]): r["answer_level"] for r in got.where("id % 97 = 0").collect()} == want
+
+
 def test_finer_queries_and_invalid_ids(spark, tree):
     df = spark.range(50).select(cells.from_path(F.col("id") % 6, F.lit(20), F.col("id") * 7919).alias("cell"))
     df = df.withColumn("a", lookup.query_compact("cell")).withColumn("b", cells.to_compact(cells.ancestor("cell", 12)))
