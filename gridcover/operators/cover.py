@@ -70,14 +70,12 @@ def nodes(members: DataFrame) -> DataFrame:
 
 def tiles(members: DataFrame) -> DataFrame:
     """lo, hi (exclusive), answer: disjoint ranges of compact ids that cover all faces, and the cell that answers for each."""
-    masks = child_masks(members)
-    ends = members.where("level = 12").select("compact").unionByName(masks.where("mask = 0").select("compact"))
-    own = ends.select((F.col("compact") - cells.compact_lowest("compact")).alias("lo"), (F.col("compact") + cells.compact_lowest("compact")).alias("hi"), F.col("compact").alias("answer"))
-    k = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")
-    gaps = masks.where("mask <> 0").select("compact", "mask", k).where(cells.shr(F.col("mask"), F.col("k")).bitwiseAND(F.lit(1)) == 0)
-    quarter = F.expr("(compact & -compact) div 2").cast("int")
-    start = F.col("compact") - cells.compact_lowest("compact") + F.col("k") * quarter
-    return own.unionByName(gaps.select(start.alias("lo"), (start + quarter).alias("hi"), F.col("compact").alias("answer")))
+    whole, low = F.col("k") < 0, cells.compact_lowest("compact")
+    t = _with_masks(members).select("compact", "mask", F.explode(F.when(F.col("mask") == 0, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.lit(3)))).alias("k"))
+    t = t.where(whole | (cells.shr(F.col("mask"), F.greatest("k", F.lit(0))).bitwiseAND(F.lit(1)) == 0))
+    start, quarter = F.col("compact") - low, F.expr("(compact & -compact) div 2").cast("int")
+    t = t.select((start + F.greatest("k", F.lit(0)) * quarter).alias("lo"), F.when(whole, 2 * low).otherwise(quarter).alias("_wide"), F.col("compact").alias("answer"))
+    return t.select("lo", (F.col("lo") + F.col("_wide")).alias("hi"), "answer")
 
 
 def mask_and_rank(node_table: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Deepest-ancestor lookups: which cell of a cover answers for a cell.
 
 Four forms with equal answers. `deepest` walks down the tree by halving the levels that are left, `by_tiles` finds the range that holds a
-query by an equality on the range's aligned block, `by_neighbours` merges queries and leaves along the curve, and `by_search` looks
+query by an equality on the range's aligned block (or, of many ranges, in order within blocks), `by_neighbours` merges queries and leaves along the curve, and `by_search` looks
 queries up in the sorted leaves.
 
 While the tree (or its tiles) is counted and has at most BROADCAST_ROWS rows, it is broadcast, and queries are answered where they are read:
@@ -64,16 +64,13 @@ def _halving(queries: DataFrame, tree: DataFrame, compact: str) -> DataFrame:
     return q.select(*queries.columns, F.when(F.col("_l") >= 0, cells.compact_ancestor(compact, F.col("_l"))).alias("answer"), level.alias("answer_level"))
 
 
-def by_tiles(queries: DataFrame, members: DataFrame, compact: str = "compact") -> DataFrame:
+def by_tiles(queries: DataFrame, members: DataFrame, compact: str = "compact", block_level: int = 3) -> DataFrame:
     """The same through tiles: a tile is an aligned block of 2^(25 - 2 l) ids, so that (l, id >> (25 - 2 l)) is a key. Each id is in
-    exactly one, so that with few tiles nothing is kept or gathered and queries may be a stream."""
+    exactly one, so that with few tiles nothing is kept or gathered and queries may be a stream. With many, a query's tile is the last one that
+    begins up to it, among those of its ancestor at block_level: one row per query instead of one for each of 13 keys."""
     tiles, few = small(_tile_keys(members))
-    inside = F.col("_q").between(0, 6 * (1 << 25) - 1)
-    bits = F.when(inside, F.array(*[F.lit(25 - 2 * level) for level in range(13)])).otherwise(F.array(F.lit(-1)))
     q = queries.withColumn("_q", F.col(compact)) if few else queries.select(F.col(compact).alias("_q")).distinct()
-    q = q.withColumn("_b", F.explode(bits))
-    q = q.withColumn("_k", F.when(F.col("_b") >= 0, cells.shr(F.col("_q"), F.col("_b"))))
-    hit = q.join(tiles, ["_b", "_k"], "left").where("_found or _b < 0")
+    hit = _by_keys(q, tiles) if few else _last_tile(q, tiles, 25 - 2 * block_level)
     hit = hit.withColumn("answer_level", F.least(cells.compact_level("_t"), cells.compact_level("_q")))
     hit = hit.withColumn("answer_level", F.when(F.col("_t").isNotNull(), F.col("answer_level"))).withColumn("answer", cells.compact_ancestor("_q", F.col("answer_level")))
     if few:
@@ -82,12 +79,31 @@ def by_tiles(queries: DataFrame, members: DataFrame, compact: str = "compact") -
 
 
 def _tile_keys(members: DataFrame) -> DataFrame:
-    """_b, _k, _t, _found: each tile by its block, and a block without an answer for each face that has no member."""
+    """_b, _k, _t, _found: each tile by its block."""
     t = cover.tiles(members).select(F.col("answer").alias("_t"), "lo", F.bit_count(F.col("hi") - F.col("lo") - 1).alias("_b"))
-    t = t.select("_b", cells.shr(F.col("lo"), F.col("_b")).alias("_k"), "_t")
-    faces = members.sparkSession.range(6).select(F.col("id").cast("int").alias("_k"))
-    empty = faces.join(members.where("level = 0").select(cells.compact_face("compact").alias("_k")), "_k", "left_anti")
-    return t.unionByName(empty.select(F.lit(25).alias("_b"), "_k", F.lit(None).cast("int").alias("_t"))).withColumn("_found", F.lit(True))
+    return t.select("_b", cells.shr(F.col("lo"), F.col("_b")).alias("_k"), "_t", F.lit(True).alias("_found"))
+
+
+def _by_keys(q: DataFrame, tiles: DataFrame) -> DataFrame:
+    """q with _t, by one key a level. Ids outside of the faces that have tiles get one row too, by the bits of those faces."""
+    faces = tiles.agg(F.coalesce(F.bit_or(cells.shl(F.lit(1), cells.shr(F.col("_k"), 25 - F.col("_b")))), F.lit(0))).first()[0]
+    face = cells.compact_face("_q")
+    inside = face.between(0, 5) & (cells.shr(F.lit(faces), F.least(face, F.lit(31))).bitwiseAND(F.lit(1)) == 1)
+    bits = F.when(inside, F.array(*[F.lit(25 - 2 * level) for level in range(13)])).otherwise(F.array(F.lit(-1)))
+    q = q.withColumn("_b", F.explode(bits))
+    q = q.withColumn("_k", F.when(F.col("_b") >= 0, cells.shr(F.col("_q"), F.col("_b"))))
+    return q.join(tiles, ["_b", "_k"], "left").where("_found or _b < 0")
+
+
+def _last_tile(q: DataFrame, tiles: DataFrame, bits: int) -> DataFrame:
+    """_q, _t: tiles dealt to the blocks of 2^bits ids that they lie in or cover (one of a level above to at most 4^block_level), and in each
+    block a running last tile."""
+    lo, block = cells.shl(F.col("_k"), F.col("_b")), F.col("_block")
+    t = tiles.select("_t", lo.alias("_lo"), F.explode(F.sequence(cells.shr(lo, bits), cells.shr(lo + cells.shl(F.lit(1), F.col("_b")) - 1, bits))).alias("_block"))
+    t = t.select("_block", F.greatest(F.col("_lo"), cells.shl(block, bits)).alias("_at"), "_t", F.lit(None).cast("int").alias("_q"))
+    rows = t.unionByName(q.select(cells.shr(F.col("_q").cast("int"), bits).alias("_block"), F.col("_q").cast("int").alias("_at"), F.lit(None).cast("int").alias("_t"), F.col("_q").cast("int").alias("_q")))
+    order = Window.partitionBy("_block").orderBy("_at", F.asc_nulls_first("_q")).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("_t", F.last("_t", True).over(order)).where("_q is not null").select("_q", "_t")
 
 
 def by_neighbours(queries: DataFrame, leaf_cells: DataFrame, compact: str = "compact", block_level: int = 3) -> DataFrame:

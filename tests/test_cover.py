@@ -80,7 +80,7 @@ def test_masks_read_members_once(spark):
     df = frame(spark, [anc(1, 0), twice, twice, 0x03000000, lone])
     assert sorted(r["compact"] for r in cover.leaves(df).collect()) == sorted([twice, twice, 0x03000000, lone])
     assert {r["compact"]: r["mask"] for r in cover.child_masks(df).collect()} == {anc(1, 0): 1, twice: 0, 0x03000000: 0, lone: 0}
-    for got in (cover.leaves(df), cover.child_masks(df)):
+    for got in (cover.leaves(df), cover.child_masks(df), cover.tiles(df)):
         plan = got._jdf.queryExecution().optimizedPlan().toString()
         assert "Join" not in plan and plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
 
@@ -131,6 +131,22 @@ def test_lookups_whatever_is_broadcast(spark, tree, monkeypatch, most):
         assert ("Exchange hashpartitioning" in plan) == (most == 0)
 
 
+def test_many_tiles_without_a_row_for_each_level(spark, tree, monkeypatch):
+    """Shuffled lookups through tiles answer as those by keys do, for tiles above, at and below the blocks' level, and read members once."""
+    members, df = tree
+    r = random.Random(3)
+    faceless = [6 << 25 | 1, 7 << 25 | 1 << 24, None]
+    q = spark.createDataFrame(list(enumerate([anc(r.randrange(6) << 25 | r.getrandbits(24) << 1 | 1, r.randrange(13)) for _ in range(600)] + sorted(members) + faceless)), "k long, compact int")
+    few = {x["k"]: x["answer"] for x in lookup.by_tiles(q, df).collect()}
+    monkeypatch.setattr(lookup, "BROADCAST_ROWS", 0)
+    for level in (0, 3, 6):
+        got = lookup.by_tiles(q, df, block_level=level)
+        assert {x["k"]: x["answer"] for x in got.collect()} == few and got.count() == len(few)
+    plan = lookup.by_tiles(q, df)._jdf.queryExecution().optimizedPlan().toString().split("InMemoryRelation")[0]
+    assert "array(25, 23" not in plan and "[25,23" not in plan
+    assert "Join" not in lookup._tile_keys(df)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_neighbours_in_one_large_block(spark):
     """30,000 queries between 30,000 leaves of one block: no frame reaches forward to its end, which would take their product."""
     leaf = spark.range(30_000).select((1 + 4 * F.col("id")).cast("int").alias("compact"))
